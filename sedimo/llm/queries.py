@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimo.llm import lattice, lines, mixing, packing, secrets, sharding, simhash, topk, toxicity
+from sedimo.llm import lattice, lines, mixing, oracles, packing, secrets, sharding, simhash, substrings, topk, toxicity
 from sedimo.llm.shared import read_table
 
 
@@ -23,6 +23,12 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without windows of 20 words that occurred earlier."""
+    found = substrings.remove_repeats(read_table(spark, sf_dir, "documents"), window=20)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def vocabulary() -> dict[str, str]:
     """The public vocabulary's files and the pattern that parts text before its merges."""
     import public_tokenizers
@@ -81,6 +87,7 @@ def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_topk": op2_topk,
+    "op3_substrings": op3_substrings,
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
     "op6_lines": op6_lines,
@@ -89,4 +96,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_lattice": op10_lattice,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracles.SQL
