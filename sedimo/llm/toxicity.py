@@ -28,6 +28,8 @@ POSITIVE = 3.0
 FOLDS = 5
 #: Place of the constant feature, after the hashed ones.
 BIAS = 1 << BITS
+#: The model without any training rows.
+UNTAUGHT = {BIAS: -10.0}
 
 _PAIR, _SKIP, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 #: ASCII letters stay, in lower case, as do digits and all other alphabets' bytes; the rest parts words.
@@ -58,7 +60,7 @@ def fit(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> dict[int, f
     close to 0.
     """
     if not rows:
-        return {BIAS: -10.0}
+        return dict(UNTAUGHT)
     z, n = np.zeros(BIAS + 1), np.zeros(BIAS + 1)
     for _ in range(epochs):
         for x, label in rows:
@@ -97,7 +99,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> dict
         yield pa.RecordBatch.from_arrays([pa.array(list(w), pa.int32()), pa.array(list(w.values()), pa.float64())], ["place", "weight"])
 
     ordered = texts.select("text", "label", "turn").orderBy("turn").limit(2 * rows).select("text", "label")
-    return {r.place: r.weight for r in ordered.coalesce(1).mapInArrow(run, "place int, weight double").collect()}
+    fitted = ordered.coalesce(1).mapInArrow(run, "place int, weight double").collect()
+    return {r.place: r.weight for r in fitted} or dict(UNTAUGHT)
 
 
 def scorer(docs: DataFrame, model: dict[int, float]):
