@@ -27,6 +27,11 @@ SAMPLE = 1024
 CANDIDATES = 4096
 QUERIES = 2048
 CHUNK = 256
+TILE = 64
+#: Share of the squared lengths that a bound is raised by.
+SLACK = np.float32(1e-5)
+#: Below every score that a long can hold.
+LEAST = -float(1 << 63)
 
 FOUND = "query_id long, query_key long, vec_id long, score long"
 
@@ -53,35 +58,45 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).reshape(len(column), dim)
 
 
-def best_in_block(q: np.ndarray, dq: np.ndarray, x: np.ndarray, dx: np.ndarray, norms: np.ndarray, ids: np.ndarray, k: int, floor: int | None, skip: int | None) -> tuple[np.ndarray, np.ndarray]:
+def bounds(dq: np.ndarray, dx: np.ndarray, qq: np.ndarray, xx: np.ndarray) -> np.ndarray:
+    """An upper bound of every inner product: ``(queries, candidates)``.
+
+    ``dx`` has a row for each pivot.  The distances are rounded to 32 bits; the
+    slack is well above what that can change.
+    """
+    gap = np.zeros((len(dq), dx.shape[1]), np.float32)
+    off = np.empty_like(gap)
+    for p in range(len(dx)):
+        np.subtract(dx[p][None, :], dq[:, p][:, None], out=off)
+        np.abs(off, out=off)
+        np.maximum(gap, off, out=gap)
+    np.multiply(gap, gap, out=gap)
+    sums = qq[:, None] + xx[None, :]
+    return (sums - gap) / 2 + SLACK * (1 + sums)
+
+
+def best_in_block(q: np.ndarray, bound: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
     """Positions and scores of the block's k best for one query, ties to the smaller id.
 
-    ``skip`` is the position of the query's own row.  With a ``floor`` only
-    scores from it up count.
+    Only scores from ``floor`` up count.  The candidates of the highest bounds
+    come first; then those whose bound still reaches the k-th best score.
     """
-    gap = np.zeros(len(x))
-    for p in range(dx.shape[1]):
-        np.maximum(gap, np.abs(dx[:, p] - dq[p]), out=gap)
-    qq = float(q @ q)
-    # The distances are rounded; the slack is above their error.
-    bound = (qq + norms - gap * gap) / 2
-    bound += 1e-6 * (1 + qq + norms)
-    if skip is not None:
-        bound[skip] = -np.inf
-    order = np.flatnonzero(bound >= floor) if floor is not None else np.flatnonzero(bound > -np.inf)
-    order = order[np.argsort(-bound[order], kind="stable")]
-    best = np.empty(0, np.int64)
-    scores = np.empty(0, q.dtype)
-    for i in range(0, len(order), CHUNK):
-        if len(best) == k and bound[order[i]] < scores[-1]:
-            break
-        part = order[i : i + CHUNK]
-        best, scores = np.append(best, part), np.append(scores, x[part] @ q)
-        top = np.lexsort((ids[best], -scores))[:k]
-        best, scores = best[top], scores[top]
-    if floor is not None:
-        best, scores = best[scores >= floor], scores[scores >= floor]
-    return best, scores
+    open_ = np.flatnonzero(bound >= floor)
+    first = open_ if len(open_) <= CHUNK else open_[np.argpartition(-bound[open_], CHUNK)[:CHUNK]]
+    best, scores = first, x[first] @ q
+    if len(first) < len(open_):
+        reach = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else floor
+        rest = bound >= max(reach, floor)
+        rest[first] = False
+        more = np.flatnonzero(rest)
+        # Above a quarter of the block, one product with all of it costs less than picking rows.
+        best, scores = np.append(best, more), np.append(scores, (x @ q)[more] if 4 * len(more) > len(x) else x[more] @ q)
+    if len(scores) > k:
+        floor = max(floor, np.partition(scores, len(scores) - k)[len(scores) - k])
+    good = scores >= floor
+    best, scores = best[good], scores[good]
+    top = np.lexsort((ids[best], -scores))[:k]
+    return best[top], scores[top]
 
 
 def _search(table: pa.Table, k: int, with_floor: bool) -> pa.Table:
@@ -91,17 +106,27 @@ def _search(table: pa.Table, k: int, with_floor: bool) -> pa.Table:
     ids = table["vec_id"].combine_chunks().to_numpy()
     keys = table["key"].combine_chunks().to_numpy()
     v = _matrix(table["v"], dim)
-    d = _matrix(table["d"], len(table["d"][0]))
-    floors = table["floor"].to_pylist()
+    d = _matrix(table["d"], len(table["d"][0])).astype(np.float32)
+    floors = [-np.inf if f is None or not with_floor else f for f in table["floor"].to_pylist()]
+    norms = (v.astype(np.float64) ** 2).sum(axis=1)
     if dim * float(np.abs(v).max(initial=0)) ** 2 < 2**52:
         v = v.astype(np.float64)  # still exact, and much faster
-    x, dx, xid, xkey = v[~asks], d[~asks], ids[~asks], keys[~asks]
-    norms = (x.astype(np.float64) ** 2).sum(axis=1)
+    x, xid = v[~asks], ids[~asks]
+    dx, xx = np.ascontiguousarray(d[~asks].T), norms[~asks].astype(np.float32)
+    place: dict[tuple[int, int], int] = {}
+    for at, name in enumerate(zip(xid.tolist(), keys[~asks].tolist(), strict=True)):
+        place.setdefault(name, at)
     rows: list[tuple] = []
-    for i in np.flatnonzero(asks):
-        own = np.flatnonzero((xid == ids[i]) & (xkey == keys[i]))
-        best, scores = best_in_block(v[i], d[i], x, dx, norms, xid, k, floors[i] if with_floor else None, own[0] if len(own) else None)
-        rows += zip([int(ids[i])] * len(best), [int(keys[i])] * len(best), xid[best].tolist(), map(int, scores), strict=True)
+    queries = np.flatnonzero(asks)
+    for t in range(0, len(queries), TILE):
+        tile = queries[t : t + TILE]
+        for i, bound in zip(tile.tolist(), bounds(d[tile], dx, norms[tile].astype(np.float32), xx), strict=True):
+            bound[np.isnan(bound)] = np.inf  # lengths beyond 32 bits bound nothing
+            name = int(ids[i]), int(keys[i])
+            if name in place:
+                bound[place[name]] = -np.inf  # the query's own row
+            best, scores = best_in_block(v[i], bound, x, xid, k, max(floors[i], LEAST))
+            rows += zip([name[0]] * len(best), [name[1]] * len(best), xid[best].tolist(), map(int, scores), strict=True)
     columns = list(zip(*rows, strict=True)) or [()] * 4
     return pa.table([pa.array(list(c), pa.int64()) for c in columns], names=["query_id", "query_key", "vec_id", "score"])
 
