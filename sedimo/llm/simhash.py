@@ -19,13 +19,13 @@ rows in proportion to the members.
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedimo.llm.components import connected_components
@@ -33,6 +33,12 @@ from sedimo.llm.shared import discard, save
 
 BITS = 64
 SEED = 42
+#: For similarities that put fingerprints far apart: fingerprints of a document, the bits of each that tables are
+#: built on, the radius there, and the bits of all fingerprints that may differ.  A similarity of 0.8 between sets
+#: is a cosine of 0.89, an angle of 27 degrees, and so 97 of 640 bits on average.
+WIDE_PRINTS, WIDE_BITS, WIDE_RADIUS, WIDE_DISTANCE = 10, 44, 3, 103
+#: Members of a large bucket that all its members are compared with.
+HEADS = 4
 SMALL = 16
 CHUNK = 1 << 16
 #: Odd multipliers for further fingerprints from the same hashes, from a seeded generator.
@@ -90,9 +96,9 @@ def fingerprints(docs: DataFrame, width: int = 3, prints: int = 1) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, prints array<long>")
 
 
-def covering_masks(radius: int, seed: int = SEED) -> list[int]:
-    """One mask for each table, as signed 64-bit numbers."""
-    vectors = [i % (2 ** (radius + 1) - 1) + 1 for i in range(BITS)]
+def covering_masks(radius: int, seed: int = SEED, bits: int = BITS) -> list[int]:
+    """One mask over the lowest ``bits`` positions for each table, as signed 64-bit numbers."""
+    vectors = [i % (2 ** (radius + 1) - 1) + 1 for i in range(bits)]
     random.Random(seed).shuffle(vectors)
     masks = []
     for v in range(1, 2 ** (radius + 1)):
@@ -153,11 +159,51 @@ def similar(nodes: DataFrame, radius: int = 2) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, prints: int = 1) -> DataFrame:
+def alike(nodes: DataFrame, bits: int = WIDE_BITS, radius: int = WIDE_RADIUS, distance: int = WIDE_DISTANCE) -> DataFrame:
+    """Links ``(a, b)`` between nodes whose fingerprints differ in at most ``distance`` bits all together.
+
+    Candidates are the pairs within ``radius`` in the lowest ``bits`` of any one
+    fingerprint, all of which some covering table brings together.  ``bits``
+    should be at least six more than the binary logarithm of the number of
+    nodes, so that few meet by chance.  In buckets of more than ``SMALL`` each
+    node is compared with ``HEADS`` of them, other ones in every table, and not
+    with all.
+    """
+    masks = covering_masks(radius, bits=bits)
+    one = nodes.select("node", F.posexplode("prints").alias("k", "fp"))
+    dealt = one.select("node", "k", "fp", F.posexplode(F.array(*map(F.lit, masks))).alias("t", "mask"))
+    table = F.shiftleft((F.col("k") * len(masks) + F.col("t")).cast("long"), bits)
+    dealt = dealt.select("node", F.col("fp").bitwiseAND(F.col("mask")).bitwiseOR(table).alias("key"))
+    shared = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = dealt.join(shared, "key").join(nodes.select("node", "prints"), "node")
+    met = save(met, "buckets")
+
+    def apart(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, d: s + d)
+
+    small = met.where(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("node", "prints")).alias("m"))
+    pairs = F.flatten(
+        F.transform(
+            "m",
+            lambda x, i: F.transform(
+                F.filter(F.slice("m", i + 2, SMALL), lambda y: apart(x.prints, y.prints) <= distance), lambda y: F.struct(x.node.alias("a"), y.node.alias("b"))
+            ),
+        )
+    )
+    found = small.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
+    large = met.where(F.col("n") > SMALL)
+    heads = large.groupBy("key").agg(*[F.min_by(F.struct("node", "prints"), F.xxhash64("node", "key", F.lit(h))).alias(f"h{h}") for h in range(HEADS)])
+    heads = save(heads.select("key", F.explode(F.array(*[f"h{h}" for h in range(HEADS)])).alias("head")), "heads")
+    stars = large.join(heads, "key").where(apart(F.col("prints"), F.col("head.prints")) <= distance)
+    return found.unionByName(stars.select(F.col("node").alias("a"), F.col("head.node").alias("b"))).where("a <> b").distinct()
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, prints: int = 1, links: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``(doc_id, prints, component_id)``, a row for each row of ``docs``.
 
     ``component_id`` is the least doc_id reachable through fingerprints that
-    differ in at most ``radius`` bits.  Equal fingerprints are one node, named
+    differ in at most ``radius`` bits, or through ``links`` where that is given,
+    a function from nodes and their fingerprints to links.  Equal fingerprints are one node, named
     by its least doc_id, so that groups of exact copies cost one row.  Rows that
     share a doc_id count as one document.  A null doc_id has its fingerprint and
     takes the component of an equal fingerprint; a fingerprint that only null
@@ -173,19 +219,20 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, prints: in
     repeated = made.where("doc_id is not null").groupBy("doc_id").agg(
         F.min("prints").alias("x"), F.max("prints").alias("y")
     ).where("x <> y").select(F.col("doc_id").alias("a"))
-    links = similar(known, radius).unionByName(same.join(repeated, "a", "left_semi"))
-    roots = connected_components(links, "a", "b")
+    found = links(known) if links else similar(known, radius)
+    roots = connected_components(found.unionByName(same.join(repeated, "a", "left_semi")), "a", "b")
     classes = nodes.join(roots, "node", "left").select("prints", F.coalesce("root", "node").alias("component_id"))
     return made.join(classes, "prints")
 
 
-def drop_near_duplicates(docs: DataFrame, width: int = 5, radius: int = 2, prints: int = 8) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     """Keep the row with the least doc_id of each group, with all its columns.
 
-    Of rows that share a doc_id one stays.  Rows without a doc_id cannot be
-    named by a group and stay.
+    Groups are those of :func:`alike` over shingles of ``width`` words.  Of rows
+    that share a doc_id one stays.  Rows without a doc_id cannot be named by a
+    group and stay.
     """
-    groups = near_duplicates(docs, width, radius, prints)
+    groups = near_duplicates(docs, width, prints=WIDE_PRINTS, links=alike)
     kept = groups.where("doc_id = component_id").select("doc_id").distinct()
     named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null")).select(docs.columns)

@@ -140,6 +140,35 @@ def test_drop_near_duplicates_keeps_one_of_each_group(docs):
     assert {i for i in ids if i is not None and texts[i] and len(texts[i]) > 200} >= {34}
 
 
+def test_pipeline_near_dedup_finds_edited_copies_and_spares_others(spark):
+    rng = random.Random(11)
+    rows, groups, k = [], [], 0
+    for g in range(120):
+        base = rng.choices(WORDS, k=300)
+        own = []
+        for c in range(2 if g % 2 else 1):
+            w = list(base)
+            for _ in range(3 * c):  # up to 15 of 296 shingles on each side change
+                w[rng.randrange(300)] = "edit" + str(rng.random())
+            rows.append((k, " ".join(w), "en", "s", 0))
+            own.append(k)
+            k += 1
+        groups.append(own)
+    half = rows[0][1].split()
+    rows.append((5000, " ".join(half[:150] + rng.choices(WORDS, k=150)), "en", "s", 0))
+    rows += [(6000 + i, rows[1][1], "en", "s", 0) for i in range(40)]  # exact copies
+    for i in range(30):  # one large group around a text
+        w = rows[4][1].split()
+        w[i * 9] = f"turn{i}"
+        rows.append((7000 + i, " ".join(w), "en", "s", 0))
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(d).collect()}
+    assert all(own[0] in kept for own in groups) and 5000 in kept
+    edited = [own[1] for own in groups if len(own) > 1]
+    assert sum(x in kept for x in edited) <= 0.1 * len(edited)
+    assert not kept & set(range(6000, 6040)) and len(kept & set(range(7000, 7030))) <= 1
+
+
 def quantise(v):
     return [math.floor(64 * x) for x in v]
 
