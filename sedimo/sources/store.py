@@ -50,7 +50,7 @@ class Manifest:
     version: int = 0
     next_id: int = 1
     next_seq: int = 1
-    floor: int = 0
+    floor: int = -(1 << 63)
     runs: tuple[Run, ...] = ()
     batches: dict[str, int] = field(default_factory=dict)
 

@@ -190,7 +190,7 @@ def test_store_compaction_drops_tombstones_only_with_the_oldest_run(spark, tmp_p
 def test_store_ignores_what_no_manifest_names(spark, tmp_path):
     path = tmp_path / "s"
     s = Store.open(spark, str(path))
-    s.append(log(spark, (1, "put", b"a", b"1"), (2, "del", b"b", None)))
+    s.append(log(spark, (0, "put", b"a", b"1"), (2, "del", b"b", None)))
     s.append(log(spark, (3, "put", b"b", b"2")))
     before = s.manifest
     merged = s._write_run(merge.merge_runs(s.sources(), True))  # a compaction that died before its commit
