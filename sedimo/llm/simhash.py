@@ -40,6 +40,8 @@ WIDE_PRINTS, WIDE_BITS, WIDE_RADIUS, WIDE_DISTANCE = 10, 44, 3, 103
 #: Members of a large bucket that all its members are compared with.
 HEADS = 4
 SMALL = 16
+#: Members without a head nearby of a large bucket are compared in blocks of about so many.
+BLOCK = 64
 CHUNK = 1 << 16
 #: Odd multipliers for further fingerprints from the same hashes, from a seeded generator.
 _MIX = [random.Random(f"print {k}").getrandbits(64) | 1 for k in range(64)]
@@ -159,15 +161,73 @@ def similar(nodes: DataFrame, radius: int = 2) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
+def _apart(x: Column, y: Column) -> Column:
+    """The bits in which two arrays of fingerprints differ, all together."""
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, d: s + d)
+
+
+def _pairs_within(groups: DataFrame, by: list[str], distance: int) -> DataFrame:
+    """Links ``(a, b)`` of the pairs within ``distance`` in each of the bounded groups."""
+    m = groups.groupBy(*by).agg(F.collect_list(F.struct("node", "prints")).alias("m"))
+    pairs = F.flatten(
+        F.transform(
+            "m",
+            lambda x, i: F.transform(
+                F.filter(F.slice("m", i + 2, F.size("m")), lambda y: _apart(x.prints, y.prints) <= distance), lambda y: F.struct(x.node.alias("a"), y.node.alias("b"))
+            ),
+        )
+    )
+    return m.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
+
+
+def _links_left(members: DataFrame, joined: DataFrame, nodes: DataFrame, distance: int) -> DataFrame | None:
+    """The links of large buckets between nodes that ``joined`` doesn't connect yet; None if no bucket has two components.
+
+    ``members`` has ``key``, ``node`` and ``near``, the distances to the bucket's
+    heads.  A member's home is the first head within ``distance``.  By the
+    triangle inequality, one farther than twice that from a head has no link to
+    its home members, so only those between ask there; members without a home
+    are compared in blocks.  Whatever is in one component already is not
+    compared.
+    """
+    named = members.join(joined.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    home = F.filter("near", lambda h: h.d <= distance)
+    left = save(named.join(mixed, "key").withColumn("home", F.get(home, 0)), "mixed")
+    if left.isEmpty():
+        return None
+    prints = nodes.select("node", "prints")
+    held = left.where("home is not null").select("key", F.col("home.head").alias("head"), "node", "root", F.col("home.d").alias("d"))
+    asks = left.select("key", "node", "root", F.explode("near").alias("h")).where((F.col("h.d") > distance) & (F.col("h.d") <= 2 * distance))
+    asks = asks.select("key", F.col("h.head").alias("head"), F.col("node").alias("a"), F.col("root").alias("a_root"), F.col("h.d").alias("a_d"))
+    # Home members share their head's component, so one row tells whether asking there can join anything.
+    heads = held.groupBy("key", "head").agg(F.first("root").alias("h_root"))
+    asks = asks.join(heads, ["key", "head"]).where("a_root <> h_root")
+    asks = asks.join(prints.select(F.col("node").alias("a"), F.col("prints").alias("a_prints")), "a")
+    held = held.join(asks.select("key", "head").distinct(), ["key", "head"], "left_semi").join(prints, "node")
+    held = held.select(F.col("key").alias("k"), F.col("head").alias("h"), "node", "d", "prints")
+    close = (F.col("a_d") - F.col("d") <= distance) & (_apart(F.col("a_prints"), F.col("prints")) <= distance)
+    answers = asks.join(held, (F.col("key") == F.col("k")) & (F.col("head") == F.col("h")) & close).select("a", F.col("node").alias("b"))
+
+    rest = left.where("home is null").select("key", "node", "root")
+    sizes = rest.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    rest = rest.join(sizes.select("key", parts.alias("parts")), "key").withColumn("b", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    blocks = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least("b", x).alias("i"), F.greatest("b", x).alias("j")))
+    rest = rest.select("key", "node", F.explode(blocks).alias("p")).select("key", "node", "p.i", "p.j").join(prints, "node")
+    return answers.unionByName(_pairs_within(rest, ["key", "i", "j"], distance))
+
+
 def alike(nodes: DataFrame, bits: int = WIDE_BITS, radius: int = WIDE_RADIUS, distance: int = WIDE_DISTANCE) -> DataFrame:
-    """Links ``(a, b)`` between nodes whose fingerprints differ in at most ``distance`` bits all together.
+    """Links ``(a, b)`` that connect all nodes of one bucket whose fingerprints differ in at most ``distance`` bits all together.
 
     Candidates are the pairs within ``radius`` in the lowest ``bits`` of any one
     fingerprint, all of which some covering table brings together.  ``bits``
     should be at least six more than the binary logarithm of the number of
-    nodes, so that few meet by chance.  In buckets of more than ``SMALL`` each
-    node is compared with ``HEADS`` of them, other ones in every table, and not
-    with all.
+    nodes, so that few meet by chance.  Buckets of at most ``SMALL`` are
+    compared pair by pair.  In a larger one all are compared with ``HEADS`` of
+    them; what that joins into one component needs nothing more, and
+    :func:`_links_left` finds the links that are left, without exception.
     """
     masks = covering_masks(radius, bits=bits)
     one = nodes.select("node", F.posexplode("prints").alias("k", "fp"))
@@ -175,27 +235,19 @@ def alike(nodes: DataFrame, bits: int = WIDE_BITS, radius: int = WIDE_RADIUS, di
     table = F.shiftleft((F.col("k") * len(masks) + F.col("t")).cast("long"), bits)
     dealt = dealt.select("node", F.col("fp").bitwiseAND(F.col("mask")).bitwiseOR(table).alias("key"))
     shared = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = dealt.join(shared, "key").join(nodes.select("node", "prints"), "node")
-    met = save(met, "buckets")
+    met = save(dealt.join(shared, "key").join(nodes.select("node", "prints"), "node"), "buckets")
 
-    def apart(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, d: s + d)
-
-    small = met.where(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("node", "prints")).alias("m"))
-    pairs = F.flatten(
-        F.transform(
-            "m",
-            lambda x, i: F.transform(
-                F.filter(F.slice("m", i + 2, SMALL), lambda y: apart(x.prints, y.prints) <= distance), lambda y: F.struct(x.node.alias("a"), y.node.alias("b"))
-            ),
-        )
-    )
-    found = small.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
+    found = _pairs_within(met.where(F.col("n") <= SMALL), ["key"], distance)
     large = met.where(F.col("n") > SMALL)
     heads = large.groupBy("key").agg(*[F.min_by(F.struct("node", "prints"), F.xxhash64("node", "key", F.lit(h))).alias(f"h{h}") for h in range(HEADS)])
-    heads = save(heads.select("key", F.explode(F.array(*[f"h{h}" for h in range(HEADS)])).alias("head")), "heads")
-    stars = large.join(heads, "key").where(apart(F.col("prints"), F.col("head.prints")) <= distance)
-    return found.unionByName(stars.select(F.col("node").alias("a"), F.col("head.node").alias("b"))).where("a <> b").distinct()
+    heads = save(heads.select("key", F.array_distinct(F.array(*[f"h{h}" for h in range(HEADS)])).alias("heads")), "heads")
+    away = F.transform("heads", lambda h: F.struct(h.node.alias("head"), _apart(F.col("prints"), h.prints).alias("d")))
+    members = save(large.join(heads, "key").select("key", "node", away.alias("near")), "members")
+    stars = members.select(F.col("node").alias("a"), F.explode(F.filter("near", lambda h: h.d <= distance)).alias("h")).select("a", F.col("h.head").alias("b"))
+    joined = connected_components(found.unionByName(stars), "a", "b")
+    left = _links_left(members, joined, nodes, distance)
+    joined = joined.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return joined if left is None else joined.unionByName(left).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, prints: int = 1, links: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

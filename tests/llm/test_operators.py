@@ -131,6 +131,35 @@ def test_simhash_large_and_small_buckets_link_alike(spark):
     assert {i: roots.get(i, i) for i, _ in rows} == {i: least[k] for (i, _), k in zip(rows, label)}
 
 
+@pytest.mark.parametrize("heads, block", [(1, 4), (4, 64)])
+def test_wide_links_of_large_buckets_match_all_pairs(spark, monkeypatch, heads, block):
+    monkeypatch.setattr(simhash, "HEADS", heads)
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "SMALL", 4)
+    bits, radius, distance = 6, 1, 12
+    rng = random.Random(heads)
+    prints = [(rng.getrandbits(64), rng.getrandbits(64)) for _ in range(30)]
+    for start in range(6):  # chains, whose ends are far from one another, and clusters
+        x = prints[start]
+        for _ in range(25):
+            x = tuple(p ^ sum(1 << b for b in rng.sample(range(64), rng.choice((1, 3, 6, 9)))) for p in (x if start % 2 else prints[start]))
+            prints.append(x)
+    masks = [m % (1 << 64) for m in simhash.covering_masks(radius, bits=bits)]
+    buckets = [{(k, t, p & m) for k, p in enumerate(x) for t, m in enumerate(masks)} for x in prints]
+    assert max(Counter(b for own in buckets for b in own).values()) > 4 * simhash.SMALL
+    parent = list(range(len(prints)))
+    for i, x in enumerate(prints):
+        for j in range(i):
+            if buckets[i] & buckets[j] and sum((a ^ b).bit_count() for a, b in zip(x, prints[j])) <= distance:
+                old, new = sorted((parent[i], parent[j]), reverse=True)
+                parent = [new if q == old else q for q in parent]
+    nodes = [(i, [p - (1 << 64) if p >> 63 else p for p in x]) for i, x in enumerate(prints)]
+    links = simhash.alike(spark.createDataFrame(nodes, "node long, prints array<long>"), bits, radius, distance)
+    roots = {r.node: r.root for r in connected_components(links, "a", "b").collect()}
+    assert [roots.get(i, i) for i in range(len(prints))] == parent
+    assert len(set(parent)) > 10
+
+
 def test_drop_near_duplicates_keeps_one_of_each_group(docs):
     kept = simhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
