@@ -37,11 +37,10 @@ SEED = 42
 #: built on, the radius there, and the bits of all fingerprints that may differ.  A similarity of 0.8 between sets
 #: is a cosine of 0.89, an angle of 27 degrees, and so 97 of 640 bits on average.
 WIDE_PRINTS, WIDE_BITS, WIDE_RADIUS, WIDE_DISTANCE = 10, 44, 3, 103
-#: Members of a large bucket that all its members are compared with.
-HEADS = 4
 SMALL = 16
-#: Members without a head nearby of a large bucket are compared in blocks of about so many.
-BLOCK = 64
+#: In the wide mode, members of a block, within which all are compared, and the members of a larger bucket that all
+#: its blocks are compared with.
+BLOCK, HEADS = 64, 4
 CHUNK = 1 << 16
 #: Odd multipliers for further fingerprints from the same hashes, from a seeded generator.
 _MIX = [random.Random(f"print {k}").getrandbits(64) | 1 for k in range(64)]
@@ -166,9 +165,8 @@ def _apart(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, d: s + d)
 
 
-def _pairs_within(groups: DataFrame, by: list[str], distance: int) -> DataFrame:
-    """Links ``(a, b)`` of the pairs within ``distance`` in each of the bounded groups."""
-    m = groups.groupBy(*by).agg(F.collect_list(F.struct("node", "prints")).alias("m"))
+def _pairs_within(blocks: DataFrame, distance: int) -> DataFrame:
+    """Links ``(a, b)`` of the pairs within ``distance`` among the members ``m`` of each block."""
     pairs = F.flatten(
         F.transform(
             "m",
@@ -177,7 +175,7 @@ def _pairs_within(groups: DataFrame, by: list[str], distance: int) -> DataFrame:
             ),
         )
     )
-    return m.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
+    return blocks.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
 
 
 def _links_left(members: DataFrame, joined: DataFrame, nodes: DataFrame, distance: int) -> DataFrame | None:
@@ -215,7 +213,8 @@ def _links_left(members: DataFrame, joined: DataFrame, nodes: DataFrame, distanc
     rest = rest.join(sizes.select("key", parts.alias("parts")), "key").withColumn("b", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     blocks = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least("b", x).alias("i"), F.greatest("b", x).alias("j")))
     rest = rest.select("key", "node", F.explode(blocks).alias("p")).select("key", "node", "p.i", "p.j").join(prints, "node")
-    return answers.unionByName(_pairs_within(rest, ["key", "i", "j"], distance))
+    met = rest.groupBy("key", "i", "j").agg(F.collect_list(F.struct("node", "prints")).alias("m"))
+    return answers.unionByName(_pairs_within(met, distance))
 
 
 def alike(nodes: DataFrame, bits: int = WIDE_BITS, radius: int = WIDE_RADIUS, distance: int = WIDE_DISTANCE) -> DataFrame:
@@ -224,10 +223,11 @@ def alike(nodes: DataFrame, bits: int = WIDE_BITS, radius: int = WIDE_RADIUS, di
     Candidates are the pairs within ``radius`` in the lowest ``bits`` of any one
     fingerprint, all of which some covering table brings together.  ``bits``
     should be at least six more than the binary logarithm of the number of
-    nodes, so that few meet by chance.  Buckets of at most ``SMALL`` are
-    compared pair by pair.  In a larger one all are compared with ``HEADS`` of
-    them; what that joins into one component needs nothing more, and
-    :func:`_links_left` finds the links that are left, without exception.
+    nodes, so that few meet by chance.  Buckets are cut into blocks of about
+    ``BLOCK``, which are compared pair by pair.  Where a bucket has more blocks,
+    all are compared with ``HEADS`` of its members too; what that joins into one
+    component needs nothing more, and :func:`_links_left` finds the links that
+    are left, without exception.
     """
     masks = covering_masks(radius, bits=bits)
     one = nodes.select("node", F.posexplode("prints").alias("k", "fp"))
@@ -235,14 +235,17 @@ def alike(nodes: DataFrame, bits: int = WIDE_BITS, radius: int = WIDE_RADIUS, di
     table = F.shiftleft((F.col("k") * len(masks) + F.col("t")).cast("long"), bits)
     dealt = dealt.select("node", F.col("fp").bitwiseAND(F.col("mask")).bitwiseOR(table).alias("key"))
     shared = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = save(dealt.join(shared, "key").join(nodes.select("node", "prints"), "node"), "buckets")
-
-    found = _pairs_within(met.where(F.col("n") <= SMALL), ["key"], distance)
-    large = met.where(F.col("n") > SMALL)
-    heads = large.groupBy("key").agg(*[F.min_by(F.struct("node", "prints"), F.xxhash64("node", "key", F.lit(h))).alias(f"h{h}") for h in range(HEADS)])
-    heads = save(heads.select("key", F.array_distinct(F.array(*[f"h{h}" for h in range(HEADS)])).alias("heads")), "heads")
-    away = F.transform("heads", lambda h: F.struct(h.node.alias("head"), _apart(F.col("prints"), h.prints).alias("d")))
-    members = save(large.join(heads, "key").select("key", "node", away.alias("near")), "members")
+    met = dealt.join(shared, "key").join(nodes.select("node", "prints"), "node")
+    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)).alias("block")
+    blocks = save(met.groupBy("key", "n", block).agg(F.collect_list(F.struct("node", "prints")).alias("m")), "buckets")
+
+    found = _pairs_within(blocks, distance)
+    large = blocks.where(F.col("n") > BLOCK)
+    heads = large.groupBy("key").agg(*[F.min_by(F.get("m", h), F.when(F.size("m") > h, F.xxhash64("key", "block", F.lit(h)))).alias(f"h{h}") for h in range(HEADS)])
+    heads = heads.select("key", F.array_compact(F.array(*[f"h{h}" for h in range(HEADS)])).alias("heads"))
+    away = lambda prints: F.transform("heads", lambda h: F.struct(h.node.alias("head"), _apart(prints, h.prints).alias("d")))
+    members = large.join(heads, "key").select("key", F.explode(F.transform("m", lambda x: F.struct(x.node.alias("node"), away(x.prints).alias("near")))).alias("x"))
+    members = save(members.select("key", "x.node", "x.near"), "members")
     stars = members.select(F.col("node").alias("a"), F.explode(F.filter("near", lambda h: h.d <= distance)).alias("h")).select("a", F.col("h.head").alias("b"))
     joined = connected_components(found.unionByName(stars), "a", "b")
     left = _links_left(members, joined, nodes, distance)

@@ -131,11 +131,10 @@ def test_simhash_large_and_small_buckets_link_alike(spark):
     assert {i: roots.get(i, i) for i, _ in rows} == {i: least[k] for (i, _), k in zip(rows, label)}
 
 
-@pytest.mark.parametrize("heads, block", [(1, 4), (4, 64)])
+@pytest.mark.parametrize("heads, block", [(1, 2), (2, 8)])
 def test_wide_links_of_large_buckets_match_all_pairs(spark, monkeypatch, heads, block):
     monkeypatch.setattr(simhash, "HEADS", heads)
     monkeypatch.setattr(simhash, "BLOCK", block)
-    monkeypatch.setattr(simhash, "SMALL", 4)
     bits, radius, distance = 6, 1, 12
     rng = random.Random(heads)
     prints = [(rng.getrandbits(64), rng.getrandbits(64)) for _ in range(30)]
@@ -146,7 +145,7 @@ def test_wide_links_of_large_buckets_match_all_pairs(spark, monkeypatch, heads,
             prints.append(x)
     masks = [m % (1 << 64) for m in simhash.covering_masks(radius, bits=bits)]
     buckets = [{(k, t, p & m) for k, p in enumerate(x) for t, m in enumerate(masks)} for x in prints]
-    assert max(Counter(b for own in buckets for b in own).values()) > 4 * simhash.SMALL
+    assert max(Counter(b for own in buckets for b in own).values()) > 16
     parent = list(range(len(prints)))
     for i, x in enumerate(prints):
         for j in range(i):
