@@ -165,17 +165,40 @@ def _apart(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, d: s + d)
 
 
-def _pairs_within(blocks: DataFrame, distance: int) -> DataFrame:
-    """Links ``(a, b)`` of the pairs within ``distance`` among the members ``m`` of each block."""
-    pairs = F.flatten(
-        F.transform(
-            "m",
-            lambda x, i: F.transform(
-                F.filter(F.slice("m", i + 2, F.size("m")), lambda y: _apart(x.prints, y.prints) <= distance), lambda y: F.struct(x.node.alias("a"), y.node.alias("b"))
-            ),
-        )
-    )
-    return blocks.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
+def _least_linked(prints: np.ndarray, distance: int) -> np.ndarray:
+    """For each row of a block the least position it hangs together with, through rows within ``distance``."""
+    away = np.zeros((len(prints), len(prints)), np.int64)
+    for k in range(prints.shape[1]):
+        away += np.bitwise_count((prints[:, k][:, None] ^ prints[:, k][None, :]).view(np.uint64))
+    link = away <= distance
+    at = np.arange(len(prints))
+    while True:
+        moved = np.where(link, at[None, :], len(at)).min(axis=1)
+        moved = moved[moved]
+        if (moved == at).all():
+            return at
+        at = moved
+
+
+def _links_within(blocks: DataFrame, distance: int) -> DataFrame:
+    """Links ``(a, b)`` that connect the members ``m`` of each block as all its pairs within ``distance`` do.
+
+    All pairs are compared; a member gives one link at most, and what several
+    blocks of a batch give is given once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.empty((0, 2), np.int64)]
+            for m in batch.column(0):
+                node = m.values.field("node").to_numpy()
+                prints = m.values.field("prints").flatten().to_numpy().reshape(len(node), -1)
+                at = _least_linked(prints, distance)
+                found.append(np.stack([node, node[at]], axis=1)[at != np.arange(len(at))])
+            links = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["a", "b"])
+
+    return blocks.select("m").mapInArrow(run, "a long, b long")
 
 
 def _links_left(members: DataFrame, joined: DataFrame, nodes: DataFrame, distance: int) -> DataFrame | None:
@@ -214,7 +237,7 @@ def _links_left(members: DataFrame, joined: DataFrame, nodes: DataFrame, distanc
     blocks = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least("b", x).alias("i"), F.greatest("b", x).alias("j")))
     rest = rest.select("key", "node", F.explode(blocks).alias("p")).select("key", "node", "p.i", "p.j").join(prints, "node")
     met = rest.groupBy("key", "i", "j").agg(F.collect_list(F.struct("node", "prints")).alias("m"))
-    return answers.unionByName(_pairs_within(met, distance))
+    return answers.unionByName(_links_within(met, distance))
 
 
 def alike(nodes: DataFrame, bits: int = WIDE_BITS, radius: int = WIDE_RADIUS, distance: int = WIDE_DISTANCE) -> DataFrame:
@@ -239,7 +262,7 @@ def alike(nodes: DataFrame, bits: int = WIDE_BITS, radius: int = WIDE_RADIUS, di
     block = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)).alias("block")
     blocks = save(met.groupBy("key", "n", block).agg(F.collect_list(F.struct("node", "prints")).alias("m")), "buckets")
 
-    found = _pairs_within(blocks, distance)
+    found = _links_within(blocks, distance)
     large = blocks.where(F.col("n") > BLOCK)
     heads = large.groupBy("key").agg(*[F.min_by(F.get("m", h), F.when(F.size("m") > h, F.xxhash64("key", "block", F.lit(h)))).alias(f"h{h}") for h in range(HEADS)])
     heads = heads.select("key", F.array_compact(F.array(*[f"h{h}" for h in range(HEADS)])).alias("heads"))
