@@ -25,7 +25,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from sedimo.llm.components import connected_components
@@ -170,8 +170,12 @@ def _least_linked(prints: np.ndarray, distance: int) -> np.ndarray:
     away = np.zeros((len(prints), len(prints)), np.int64)
     for k in range(prints.shape[1]):
         away += np.bitwise_count((prints[:, k][:, None] ^ prints[:, k][None, :]).view(np.uint64))
-    link = away <= distance
-    at = np.arange(len(prints))
+    return least_reached(away <= distance)
+
+
+def least_reached(link: np.ndarray) -> np.ndarray:
+    """For each row of a matrix of links, each row linked to itself, the least position it hangs together with."""
+    at = np.arange(len(link))
     while True:
         moved = np.where(link, at[None, :], len(at)).min(axis=1)
         moved = moved[moved]
@@ -201,7 +205,18 @@ def _links_within(blocks: DataFrame, distance: int) -> DataFrame:
     return blocks.select("m").mapInArrow(run, "a long, b long")
 
 
-def _links_left(members: DataFrame, joined: DataFrame, nodes: DataFrame, distance: int) -> DataFrame | None:
+def _prints_within(blocks: GroupedData, distance: int) -> DataFrame:
+    return _links_within(blocks.agg(F.collect_list(F.struct("node", "prints")).alias("m")), distance)
+
+
+def links_left(
+    members: DataFrame,
+    joined: DataFrame,
+    nodes: DataFrame,
+    distance: float,
+    apart: Callable[[Column, Column], Column] = _apart,
+    within: Callable[[GroupedData, float], DataFrame] = _prints_within,
+) -> DataFrame | None:
     """The links of large buckets between nodes that ``joined`` doesn't connect yet; None if no bucket has two components.
 
     ``members`` has ``key``, ``node`` and ``near``, the distances to the bucket's
@@ -209,7 +224,8 @@ def _links_left(members: DataFrame, joined: DataFrame, nodes: DataFrame, distanc
     triangle inequality, one farther than twice that from a head has no link to
     its home members, so only those between ask there; members without a home
     are compared in blocks.  Whatever is in one component already is not
-    compared.
+    compared.  ``apart`` is the distance of two ``prints``, a metric, and
+    ``within`` gives the links within blocks of ``node`` and ``prints``.
     """
     named = members.join(joined.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
@@ -227,7 +243,7 @@ def _links_left(members: DataFrame, joined: DataFrame, nodes: DataFrame, distanc
     asks = asks.join(prints.select(F.col("node").alias("a"), F.col("prints").alias("a_prints")), "a")
     held = held.join(asks.select("key", "head").distinct(), ["key", "head"], "left_semi").join(prints, "node")
     held = held.select(F.col("key").alias("k"), F.col("head").alias("h"), "node", "d", "prints")
-    close = (F.col("a_d") - F.col("d") <= distance) & (_apart(F.col("a_prints"), F.col("prints")) <= distance)
+    close = (F.col("a_d") - F.col("d") <= distance) & (apart(F.col("a_prints"), F.col("prints")) <= distance)
     answers = asks.join(held, (F.col("key") == F.col("k")) & (F.col("head") == F.col("h")) & close).select("a", F.col("node").alias("b"))
 
     rest = left.where("home is null").select("key", "node", "root")
@@ -236,8 +252,7 @@ def _links_left(members: DataFrame, joined: DataFrame, nodes: DataFrame, distanc
     rest = rest.join(sizes.select("key", parts.alias("parts")), "key").withColumn("b", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     blocks = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least("b", x).alias("i"), F.greatest("b", x).alias("j")))
     rest = rest.select("key", "node", F.explode(blocks).alias("p")).select("key", "node", "p.i", "p.j").join(prints, "node")
-    met = rest.groupBy("key", "i", "j").agg(F.collect_list(F.struct("node", "prints")).alias("m"))
-    return answers.unionByName(_links_within(met, distance))
+    return answers.unionByName(within(rest.groupBy("key", "i", "j"), distance))
 
 
 def alike(nodes: DataFrame, bits: int = WIDE_BITS, radius: int = WIDE_RADIUS, distance: int = WIDE_DISTANCE) -> DataFrame:
@@ -249,7 +264,7 @@ def alike(nodes: DataFrame, bits: int = WIDE_BITS, radius: int = WIDE_RADIUS, di
     nodes, so that few meet by chance.  Buckets are cut into blocks of about
     ``BLOCK``, which are compared pair by pair.  Where a bucket has more blocks,
     all are compared with ``HEADS`` of its members too; what that joins into one
-    component needs nothing more, and :func:`_links_left` finds the links that
+    component needs nothing more, and :func:`links_left` finds the links that
     are left, without exception.
     """
     masks = covering_masks(radius, bits=bits)
@@ -271,7 +286,7 @@ def alike(nodes: DataFrame, bits: int = WIDE_BITS, radius: int = WIDE_RADIUS, di
     members = save(members.select("key", "x.node", "x.near"), "members")
     stars = members.select(F.col("node").alias("a"), F.explode(F.filter("near", lambda h: h.d <= distance)).alias("h")).select("a", F.col("h.head").alias("b"))
     joined = connected_components(found.unionByName(stars), "a", "b")
-    left = _links_left(members, joined, nodes, distance)
+    left = links_left(members, joined, nodes, distance)
     joined = joined.select(F.col("node").alias("a"), F.col("root").alias("b"))
     return joined if left is None else joined.unionByName(left).distinct()
 
@@ -287,7 +302,11 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, prints: in
     takes the component of an equal fingerprint; a fingerprint that only null
     ids have stays alone, with a null component_id.  No rows give no rows.
     """
-    made = save(fingerprints(docs, width, prints), "prints")
+    return grouped(save(fingerprints(docs, width, prints), "prints"), links or (lambda known: similar(known, radius)))
+
+
+def grouped(made: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``made``, rows of ``doc_id`` and ``prints``, with the ``component_id`` of :func:`near_duplicates`."""
     nodes = save(made.groupBy("prints").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last")), "nodes")
     known = nodes.where("node is not null").select("prints", "node")
     # Texts of one doc_id that differ are one document: its ids link them.
@@ -297,8 +316,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, prints: in
     repeated = made.where("doc_id is not null").groupBy("doc_id").agg(
         F.min("prints").alias("x"), F.max("prints").alias("y")
     ).where("x <> y").select(F.col("doc_id").alias("a"))
-    found = links(known) if links else similar(known, radius)
-    roots = connected_components(found.unionByName(same.join(repeated, "a", "left_semi")), "a", "b")
+    roots = connected_components(links(known).unionByName(same.join(repeated, "a", "left_semi")), "a", "b")
     classes = nodes.join(roots, "node", "left").select("prints", F.coalesce("root", "node").alias("component_id"))
     return made.join(classes, "prints")
 
@@ -306,11 +324,14 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, prints: in
 def drop_near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     """Keep the row with the least doc_id of each group, with all its columns.
 
-    Groups are those of :func:`alike` over shingles of ``width`` words.  Of rows
+    Groups are those of :mod:`sedimo.llm.overlap` over sets of shingles of
+    ``width`` words: what links of a similarity of 0.8 or more connect.  Of rows
     that share a doc_id one stays.  Rows without a doc_id cannot be named by a
     group and stay.
     """
-    groups = near_duplicates(docs, width, prints=WIDE_PRINTS, links=alike)
+    from sedimo.llm import overlap  # it builds on this module
+
+    groups = overlap.copies(docs, width)
     kept = groups.where("doc_id = component_id").select("doc_id").distinct()
     named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null")).select(docs.columns)

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sedimo.llm import lattice, lines, mixing, packing, queries, secrets, sharding, simhash, substrings, topk, toxicity
+from sedimo.llm import lattice, lines, mixing, overlap, packing, queries, secrets, sharding, simhash, substrings, topk, toxicity
 from sedimo.llm.components import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, component_id string, shard string, score string, key string"
@@ -197,6 +197,36 @@ def test_pipeline_near_dedup_finds_edited_copies_and_spares_others(spark):
     assert not kept & set(range(6000, 6040)) and len(kept & set(range(7000, 7030))) <= 1
 
 
+@pytest.mark.parametrize("small", [2, 16])
+def test_pipeline_near_dedup_matches_all_pairs_about_the_threshold(spark, monkeypatch, small):
+    monkeypatch.setattr(overlap, "SMALL", small)
+    rng = random.Random(21)
+    word = lambda: f"w{rng.getrandbits(40)}"
+    texts = []
+    for t in range(17, 31):  # five-word similarities of (200 - t) / (200 + t): 0.80 to 0.85 up to 22, below 0.8 from 23
+        for _ in range(6):
+            base = [word() for _ in range(204)]
+            texts += [base, base[: 204 - t] + [word() for _ in range(t)]]
+    for _ in range(2):  # a chain, a cluster, and what lies between
+        base = x = [word() for _ in range(204)]
+        for i in range(40):
+            x = x[:i * 4] + [word() for _ in range(9)] + x[i * 4 + 9 :]
+            t = rng.randrange(5, 40)
+            texts += [x, base[: 204 - t] + [word() for _ in range(t)]]
+    rng.shuffle(texts)
+    sets = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in texts]
+    parent = list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            both = len(x & sets[j])
+            if 5 * both >= 4 * (len(x) + len(sets[j]) - both):
+                old, new = sorted((parent[i], parent[j]), reverse=True)
+                parent = [new if q == old else q for q in parent]
+    rows = [(i, " ".join(x), "en", "s", 0) for i, x in enumerate(texts)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(d).collect()) == sorted(set(parent))
+
+
 def quantise(v):
     return [math.floor(64 * x) for x in v]
 
