@@ -266,3 +266,9 @@ def test_shell(spark, tmp_path):
         "ok", "one two ", "(not found)", "ok", "", "ok", "(not found)", "flushed", "compacted", "unknown command",
         "sstables=1 entries=1 flushes=1 compactions=1 bloom_skips=0 table_probes=0",
     ]
+
+
+def test_late_mutations_take_part_whatever_their_number(spark):
+    newest = {r.key: r.seq for r in catalogue.versions(spark, SF).groupBy("key").agg(F.max("seq").alias("seq")).collect()}
+    assert any(n % 3 == 1 for n in newest.values())
+    assert {r.key: r.seq for r in catalogue.QUERIES["late_mutations_all"](spark, SF).collect()} == newest
