@@ -101,19 +101,19 @@ def sparse_index_seek(index: DataFrame, targets: DataFrame, by: Sequence[str] =
     return found.where("kind = 1 and block is not null").select(*by, F.col("at").alias("target"), "block", F.col("first").cast("long").alias("first"))
 
 
-def block_scan_cost(run: DataFrame, seeks: DataFrame) -> DataFrame:
-    """``(target, records)``: records read from the block's first until the key, a greater one or the end.
+def block_scan_cost(run: DataFrame, seeks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``(by, target, records)``: records read from the block's first until the key, a greater one or the end.
 
     A key that falls after the last of its block also reads the next block's
-    first record.
+    first record.  ``by`` names the columns that tell runs apart.
     """
-    at = with_positions(run).select("key", "ordinal")
-    order = Window.orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    here = at.select(F.col("key").alias("at"), F.lit(0).alias("kind"), F.col("key"), F.col("ordinal").cast("long").alias("ordinal"), F.lit(None).cast("long").alias("first"))
-    ask = seeks.select(F.col("target").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(run.schema["key"].dataType).alias("key"), F.lit(None).cast("long").alias("ordinal"), "first")
-    total = at.agg(F.count("*").alias("total"))
+    at = with_positions(run, by).select(*by, "key", "ordinal")
+    order = Window.partitionBy(*by).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = at.select(*by, F.col("key").alias("at"), F.lit(0).alias("kind"), F.col("key"), F.col("ordinal").cast("long").alias("ordinal"), F.lit(None).cast("long").alias("first"))
+    ask = seeks.select(*by, F.col("target").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(run.schema["key"].dataType).alias("key"), F.lit(None).cast("long").alias("ordinal"), "first")
+    total = at.groupBy(*by).agg(F.count("*").alias("total"))
     last = here.unionByName(ask).withColumn("key", F.last("key", True).over(order)).withColumn("ordinal", F.last("ordinal", True).over(order))
     # Equal: read up to it.  Absent: up to the next record, where there is one.
     end = F.when(F.col("key") == F.col("at"), F.col("ordinal")).otherwise(F.least(F.col("ordinal") + 1, F.col("total") - 1))
-    cost = last.where("kind = 1").join(F.broadcast(total)).withColumn("records", end - F.col("first") + 1)
-    return cost.select(F.col("at").alias("target"), F.col("records").cast("long").alias("records"))
+    cost = last.where("kind = 1").join(F.broadcast(total), list(by) or None).withColumn("records", end - F.col("first") + 1)
+    return cost.select(*by, F.col("at").alias("target"), F.col("records").cast("long").alias("records"))

@@ -385,3 +385,23 @@ def late_mutations_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = versions(spark, sf_dir)
     even, odd = v.where("seq % 2 = 0"), v.where("seq % 2 = 1")
     return merge.merge_runs([odd, even, odd, even], drop_tombstones=False)
+
+
+@query(f"WITH {RUNS} SELECT run_id, key, deleted, value FROM runs ORDER BY run_id, key")
+def run_scan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``run_scan``, over every run."""
+    return all_runs(spark, sf_dir).select("run_id", "key", "deleted", "value").orderBy("run_id", "key")
+
+
+@query(
+    f"""WITH {RUNS}, t AS (SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS target FROM customer),
+    first AS (SELECT run_id, target, max(ordinal) AS first FROM sized JOIN t ON key <= target WHERE ordinal % 16 = 0 GROUP BY run_id, target),
+    stop AS (SELECT run_id, target, min(ordinal) AS stop FROM sized JOIN t ON key >= target GROUP BY run_id, target),
+    ends AS (SELECT run_id, max(ordinal) AS last FROM sized GROUP BY run_id)
+    SELECT run_id, target, CAST(coalesce(stop, last) - first + 1 AS BIGINT) AS records FROM first LEFT JOIN stop USING (run_id, target) JOIN ends USING (run_id)"""
+)
+def block_scan_cost_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``block_scan_cost``, in every run."""
+    runs = all_runs(spark, sf_dir).select("run_id", "key", "value")
+    seeks = lookup.sparse_index_seek(lookup.sparse_index(runs, ["run_id"]), wanted(spark, sf_dir), ["run_id"])
+    return lookup.block_scan_cost(runs, seeks, ["run_id"])

@@ -272,3 +272,14 @@ def test_late_mutations_take_part_whatever_their_number(spark):
     newest = {r.key: r.seq for r in catalogue.versions(spark, SF).groupBy("key").agg(F.max("seq").alias("seq")).collect()}
     assert any(n % 3 == 1 for n in newest.values())
     assert {r.key: r.seq for r in catalogue.QUERIES["late_mutations_all"](spark, SF).collect()} == newest
+
+
+@pytest.mark.parametrize("name", ["block_scan_cost_all", "run_scan_all"])
+def test_every_run_is_covered(spark, name):
+    sf = SF.replace("sf0.001", "sf0.01")  # ten runs
+    con = duckdb.connect()
+    for t in ("events", "customer"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = con.execute(catalogue.SQL[name])
+    got = catalogue.QUERIES[name](spark, sf).select(*[d[0] for d in want.description]).collect()
+    assert {r.run_id for r in got} == set(range(10)) and told(map(tuple, got)) == told(want.fetchall())
