@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sedimo.functions.bloom import bloom_params_columns, build_filters, probe_filters
-from sedimo.functions.codec import LOG_NAME, RUN_NAME, log_name, parse_id, run_name
+from sedimo.functions.codec import LOG_DELETE, LOG_NAME, LOG_PUT, RUN_NAME, log_name, parse_id, run_name
 from sedimo.operators import lookup, merge
 from sedimo.operators.policy import LayoutModel, pick_compaction_rows
 from sedimo.schema import BLOOM_HEADER_BYTES, FOOTER_BYTES, INDEX_OVERHEAD, MEMTABLE_ENTRY_OVERHEAD, Options
@@ -405,3 +405,29 @@ def block_scan_cost_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = all_runs(spark, sf_dir).select("run_id", "key", "value")
     seeks = lookup.sparse_index_seek(lookup.sparse_index(runs, ["run_id"]), wanted(spark, sf_dir), ["run_id"])
     return lookup.block_scan_cost(runs, seeks, ["run_id"])
+
+
+def _field(b: Column) -> Column:
+    """A byte string as the log has it: its length in four bytes, the lowest first, and its bytes."""
+    n = F.octet_length(b)
+    low_first = [F.lpad(F.hex(F.shiftright(n, 8 * i).bitwiseAND(255)), 2, "0") for i in range(4)]
+    return F.concat(F.unhex(F.concat(*low_first)), b)
+
+
+@query(
+    f"""WITH {LOG}, f AS (SELECT seq, deleted, hex(encode(key)) AS k, hex(encode(coalesce(value, ''))) AS v FROM log),
+    h AS (
+        SELECT seq, CASE WHEN deleted THEN '0{LOG_DELETE}' ELSE '0{LOG_PUT}' END
+            || array_to_string([printf('%02X', (strlen(k) // 2 // x) % 256) FOR x IN [1, 256, 65536, 16777216]], '') || k
+            || array_to_string([printf('%02X', (strlen(v) // 2 // x) % 256) FOR x IN [1, 256, 65536, 16777216]], '') || v AS h FROM f
+    )
+    SELECT seq, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, strlen(h) // 2),
+            lambda i: (16 * (instr('0123456789ABCDEF', substr(h, 2 * i + 1, 1)) - 1) + instr('0123456789ABCDEF', substr(h, 2 * i + 2, 1)) - 1)::BIGINT)),
+        lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+            lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)), 4294967295::BIGINT) AS crc FROM h"""
+)
+def wal_payload_crc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checksum of each event's whole log record; ``wal_record_crc`` has that of the key alone."""
+    kind = F.when(F.col("op") == "del", F.lit(bytes([LOG_DELETE]))).otherwise(F.lit(bytes([LOG_PUT])))
+    value = F.coalesce(F.col("value").cast("binary"), F.lit(b""))
+    return mutations(spark, sf_dir).select("seq", F.crc32(F.concat(kind, _field(F.col("key").cast("binary")), _field(value))).alias("crc"))

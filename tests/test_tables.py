@@ -283,3 +283,9 @@ def test_every_run_is_covered(spark, name):
     want = con.execute(catalogue.SQL[name])
     got = catalogue.QUERIES[name](spark, sf).select(*[d[0] for d in want.description]).collect()
     assert {r.run_id for r in got} == set(range(10)) and told(map(tuple, got)) == told(want.fetchall())
+
+
+def test_payload_checksum_is_that_of_the_log_record(spark):
+    rows = catalogue.mutations(spark, SF).collect()
+    want = {r.seq: int.from_bytes(log_record(Mutation(r.op == "del", r.key.encode(), (r.value or "").encode()))[:4], "little") for r in rows}
+    assert {r.seq: r.crc for r in catalogue.QUERIES["wal_payload_crc"](spark, SF).collect()} == want
