@@ -1,26 +1,36 @@
 """A store: sorted Parquet runs under a manifest.
 
-A commit is a new manifest file, made only if no one else has made that version.
-Whatever no manifest names doesn't exist: files of a writer that died are never
-read, and are deleted by :meth:`Store.clean` later.
+A commit is a new manifest file, made only if no one else has made that version;
+a writer that comes second reads the other's version and asks again whether its
+change applies.  Whatever no manifest names doesn't exist: files of a writer
+that died are never read, and are deleted by :meth:`Store.clean` later.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field, replace
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimo.functions.codec import Mutation, log_record, replay_log
+from sedimo.functions.bloom import Bloom
+from sedimo.functions.codec import Corrupt, Mutation, log_record, replay_log
 from sedimo.operators import lookup, merge
 from sedimo.operators.policy import pick_compaction
 from sedimo.schema import DEL, MAX_FIELD, MEMTABLE_ENTRY_OVERHEAD, PUT, RUN_META, Options, Stats, mutation_log, run_record
-from sedimo.sources.files import Files
+from sedimo.sources.files import Appender, Files
 
-MANIFEST, RUNS, LOGS = "_manifest", "_runs", "_logs"
+MANIFEST, RUNS, LOGS, FILTERS, LATE = "_manifest", "_runs", "_logs", "_filters", "_late"
+#: Manifests that stay beside the newest, and tries of a commit against other writers.
+MANIFESTS_KEPT, COMMIT_TRIES = 64, 20
+#: Keys of one filter; a larger run has several, each for a range of its keys.
+FILTER_KEYS = 1 << 18
+NO_FLOOR = -(1 << 63)
+FILTER = "run string, n long, min_key binary, max_key binary, max_seq long, bloom binary"
 
 
 class Conflict(RuntimeError):
@@ -29,7 +39,7 @@ class Conflict(RuntimeError):
 
 @dataclass(frozen=True)
 class Run:
-    """A committed run; the keys at its ends are in hexadecimal."""
+    """A committed run; the keys at its ends are in hexadecimal.  ``filters`` is the table of its Bloom filters."""
 
     run_id: int
     path: str
@@ -37,20 +47,22 @@ class Run:
     file_size: int
     min_key: str
     max_key: str
+    max_seq: int = 0
+    filters: str | None = None
 
 
 @dataclass(frozen=True)
 class Manifest:
     """A version of the store; ``runs`` are newest first.
 
-    Mutations up to ``floor`` are refused: a full compaction may have dropped a
-    tombstone that would hide them.
+    Mutations up to ``floor`` are set aside: a full compaction may have dropped
+    a tombstone that would hide them.
     """
 
     version: int = 0
     next_id: int = 1
     next_seq: int = 1
-    floor: int = -(1 << 63)
+    floor: int = NO_FLOOR
     runs: tuple[Run, ...] = ()
     batches: dict[str, int] = field(default_factory=dict)
 
@@ -66,9 +78,10 @@ class Manifest:
 class Store:
     """Puts, deletions and lookups over byte-string keys.
 
-    Single mutations gather in a small memtable on the driver, each in a log
-    file of its own until they are flushed; tables of mutations go straight into
-    a run.  The larger sequence number wins, whatever the order of arrival.
+    Single mutations gather in a small memtable on the driver, and in a log that
+    is open until they are flushed; tables of mutations go straight into a run.
+    The larger sequence number wins, whatever the order of arrival.  Several
+    writers may append tables; single mutations have one writer at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str, options: Options):
@@ -79,6 +92,8 @@ class Store:
         self.memtable: dict[bytes, tuple[int, bool, bytes]] = {}
         self.memtable_size = 0
         self.last_seq = 0
+        self.top = 0
+        self.log: Appender | None = None
         self.pending_logs: list[str] = []
         self.log_health: dict[str, tuple[int, bool]] = {}
 
@@ -86,7 +101,7 @@ class Store:
     def open(cls, spark: SparkSession, path: str, options: Options | None = None) -> Store:
         """Open or make a store: read the newest complete manifest, replay the logs, compact if due."""
         store = cls(spark, path, options or Options())
-        for folder in (MANIFEST, RUNS, LOGS):
+        for folder in (MANIFEST, RUNS, LOGS, FILTERS):
             store.files.mkdirs(folder)
         store.manifest = store._newest()
         store.last_seq = store.manifest.next_seq - 1
@@ -94,25 +109,46 @@ class Store:
         store._maybe_compact()
         return store
 
+    def _parsed(self, version: int) -> Manifest | None:
+        try:
+            return Manifest.parse(self.files.read(f"{MANIFEST}/{version:012d}.json"))
+        except (ValueError, KeyError, TypeError):
+            return None  # a writer died within it, or it is damaged
+
     def _newest(self) -> Manifest:
-        for name in reversed([n for n in self.files.names(MANIFEST) if n.endswith(".json")]):
-            try:
-                return Manifest.parse(self.files.read(f"{MANIFEST}/{name}"))
-            except (ValueError, KeyError, TypeError):
-                continue  # a writer died within it
-        return Manifest()
-
-    def _commit(self, **changes: object) -> None:
-        version = self.manifest.version + 1
-        made = [n for n in self.files.names(MANIFEST) if n.endswith(".json")]
-        if made and int(made[-1][:-5]) >= version:
-            if self._newest().version >= version:
-                raise Conflict(f"version {version} exists")
-            version = int(made[-1][:-5]) + 1
-        wanted = replace(self.manifest, version=version, **changes)
-        if not self.files.create(f"{MANIFEST}/{version:012d}.json", wanted.dump()):
-            raise Conflict(f"version {version} exists")
-        self.manifest = wanted
+        """The newest manifest that can be read; a store with manifests but none of them sound is an error."""
+        versions = [int(n[:-5]) for n in self.files.names(MANIFEST) if n.endswith(".json")]
+        if not versions:
+            return Manifest()
+        self.top = versions[-1]
+        for version in reversed(versions):
+            if found := self._parsed(version):
+                return found
+        raise Corrupt(f"no manifest of {self.files.root} can be read")
+
+    def _refresh(self) -> None:
+        """Take over the versions that others have made since, without listing the older ones."""
+        while self.files.exists(f"{MANIFEST}/{self.top + 1:012d}.json"):
+            self.top += 1
+            self.manifest = self._parsed(self.top) or self.manifest
+
+    def _commit(self, change: Callable[[Manifest], Manifest | None]) -> bool:
+        """Make the next version out of the newest; False where ``change`` doesn't apply to it (None)."""
+        for _ in range(COMMIT_TRIES):
+            wanted = change(self.manifest)
+            if wanted is None:
+                return False
+            wanted = replace(wanted, version=self.top + 1)
+            if self.files.create(f"{MANIFEST}/{wanted.version:012d}.json", wanted.dump()):
+                self.manifest, self.top = wanted, wanted.version
+                self.files.delete(f"{MANIFEST}/{wanted.version - MANIFESTS_KEPT:012d}.json")
+                return True
+            self._refresh()
+        raise Conflict(f"version {self.top + 1} exists")
+
+    def _with_run(self, m: Manifest, run: Run) -> Manifest:
+        """``m`` with ``run`` as its newest."""
+        return replace(m, runs=(replace(run, run_id=m.next_id), *m.runs), next_id=m.next_id + 1, next_seq=max(m.next_seq, run.max_seq + 1))
 
     def _recover(self) -> None:
         """Replay the logs' longest valid prefixes, and write what they hold as one run.
@@ -144,13 +180,17 @@ class Store:
         self._write(Mutation(True, _bytes(key)))
 
     def _write(self, m: Mutation) -> None:
+        """Append to the log, which holds all records since the last flush, then to the memtable."""
         if max(len(m.key), len(m.value)) > MAX_FIELD:
             raise ValueError(f"keys and values have at most {MAX_FIELD} bytes")
         seq = self.last_seq + 1
-        name = f"wal-{seq:018d}.log"
-        if not self.files.create(f"{LOGS}/{name}", log_record(m)):
-            raise Conflict(f"{name} exists")
-        self.pending_logs.append(name)
+        if self.log is None:
+            name = f"wal-{seq:018d}.log"
+            self.log = self.files.appender(f"{LOGS}/{name}", self.options.sync_wal)
+            if self.log is None:
+                raise Conflict(f"{name} exists")
+            self.pending_logs.append(name)
+        self.log.add(log_record(m))
         self._remember(seq, m)
         if self.memtable_size >= self.options.memtable_bytes:
             self.flush()
@@ -169,15 +209,17 @@ class Store:
 
     def _flush_memtable(self, counted: bool) -> None:
         rows = [(seq, k, deleted, None if deleted else v) for k, (seq, deleted, v) in self.memtable.items()]
-        state = self.spark.createDataFrame(rows, run_record()).coalesce(1)
-        run = self._write_run(state, len(rows))
-        self._commit(runs=(run, *self.manifest.runs), next_id=self.manifest.next_id + 1, next_seq=self.last_seq + 1)
+        run = self._write_run(self.spark.createDataFrame(rows, run_record()).coalesce(1), len(rows))
+        self._commit(lambda m: replace(self._with_run(m, run), next_seq=max(m.next_seq, self.last_seq + 1)))
         self.memtable, self.memtable_size = {}, 0
         self._drop_logs()
         self.stats_.flushes += counted
 
     def _drop_logs(self) -> None:
         """Delete the logs whose records a committed run holds."""
+        if self.log is not None:
+            self.log.close()
+            self.log = None
         for name in self.pending_logs:
             self.files.delete(f"{LOGS}/{name}")
         self.pending_logs = []
@@ -189,51 +231,89 @@ class Store:
 
         ``batch`` is the name and number of a batch of some stream: one that was
         committed before is left out, and False returned.  The rows' ``seq``
-        decides, so late rows are harmless as long as they are above the floor.
+        decides, so late rows are harmless; those at or below the floor of a
+        full compaction are set aside, see :meth:`late`.
         """
-        if batch is not None and self.manifest.batches.get(batch[0], -1) >= batch[1]:
+
+        def done(m: Manifest) -> bool:
+            return batch is not None and m.batches.get(batch[0], -1) >= batch[1]
+
+        if done(self.manifest):
             return False
         self.flush()
         kinds = {f.name: f.dataType for f in mutation_log().fields}
-        typed = log.select(*[F.col(c).cast(kinds[c]).alias(c) for c in kinds])
-        floor = F.lit(self.manifest.floor)
-        late = F.raise_error(F.concat(F.lit("seq is at or below the floor of the last full compaction: "), F.col("seq").cast("string")))
-        typed = typed.withColumn("seq", F.when(F.col("seq") > floor, F.col("seq")).otherwise(late.cast("long")))
-        run = self._write_run(merge.memtable_state(merge.validated(typed)))
-        batches = self.manifest.batches | ({batch[0]: batch[1]} if batch else {})
-        changes: dict[str, object] = {"batches": batches}
-        if run is not None:
-            top = self._read(run).agg(F.max("seq")).first()[0]
-            changes |= {"runs": (run, *self.manifest.runs), "next_id": self.manifest.next_id + 1, "next_seq": max(self.manifest.next_seq, top + 1)}
-        if run is not None or batch:
-            self._commit(**changes)
-            self.last_seq = max(self.last_seq, self.manifest.next_seq - 1)
-            self.stats_.flushes += run is not None
-            self._maybe_compact()
+        typed = merge.validated(log.select(*[F.col(c).cast(kinds[c]).alias(c) for c in kinds]))
+        floor = self.manifest.floor
+        if floor > NO_FLOOR:
+            aside = typed.where(F.col("seq") <= floor)
+            if not aside.isEmpty():
+                aside.write.parquet(self.files.full(f"{LATE}/{uuid.uuid4().hex}"))
+            typed = typed.where(F.coalesce(F.col("seq") > floor, F.lit(True)))
+        run = self._write_run(merge.memtable_state(typed))
+
+        def change(m: Manifest) -> Manifest | None:
+            if done(m) or m.floor > floor:
+                return None
+            m = replace(m, batches=m.batches | ({batch[0]: batch[1]} if batch else {}))
+            return self._with_run(m, run) if run else m
+
+        if (run or batch) and not self._commit(change):
+            self._discard(run)
+            if done(self.manifest):
+                return False
+            raise Conflict("another writer compacted all runs meanwhile; append again")
+        self.last_seq = max(self.last_seq, self.manifest.next_seq - 1)
+        self.stats_.flushes += run is not None
+        self._maybe_compact()
         return True
 
+    def late(self) -> DataFrame:
+        """The mutations that came at or below the floor of a full compaction, and so play no part."""
+        if not self.files.names(LATE):
+            return self.spark.createDataFrame([], mutation_log())
+        return self.spark.read.schema(mutation_log()).parquet(self.files.full(f"{LATE}/*"))
+
     def _write_run(self, state: DataFrame, expected: int | None = None) -> Run | None:
         """Write a state, one version of each key, sorted by key; no rows make no run.
 
         Range partitions keep each file's keys together, so that a lookup skips
         files and row groups by their ends, and the rest by Parquet's filters.
+        One reading of the keys that were written gives the run's figures and
+        its own filters.
         """
-        name = f"{RUNS}/{self.manifest.next_id:06d}-{uuid.uuid4().hex}"
+        name = f"{uuid.uuid4().hex}"
+        path = f"{RUNS}/{name}"
         if expected is None:
             n = self.options.run_partitions
             state = (state.repartitionByRange(n, "key") if n else state.repartitionByRange("key")).sortWithinPartitions("key")
         else:
             state = state.sortWithinPartitions("key")
         writer = state.select("seq", "key", "deleted", "value").write
-        if self.options.bloom_bits_per_key:
+        bits = self.options.bloom_bits_per_key
+        if bits:
             writer = writer.option("parquet.bloom.filter.enabled#key", "true")
             writer = writer.option("parquet.bloom.filter.expected.ndv#key", str(expected or 1_000_000)).option("parquet.bloom.filter.adaptive.enabled", "true")
-        writer.parquet(self.files.full(name))
-        ends = self.spark.read.schema(run_record()).parquet(self.files.full(name)).agg(F.count("*"), F.hex(F.min("key")), F.hex(F.max("key"))).first()
-        if not ends[0]:
-            self.files.delete(name)
+        writer.parquet(self.files.full(path))
+        keys = self.spark.read.schema(run_record()).parquet(self.files.full(path)).select("seq", "key")
+        if bits:
+            filters = f"{FILTERS}/{name}"
+            filters_of(keys, path, bits).write.parquet(self.files.full(filters))
+            made = self.spark.read.schema(FILTER).parquet(self.files.full(filters)).select("n", "min_key", "max_key", "max_seq")
+        else:
+            filters, made = None, keys.select(F.lit(1).cast("long").alias("n"), F.col("key").alias("min_key"), F.col("key").alias("max_key"), F.col("seq").alias("max_seq"))
+        ends = made.agg(F.sum("n"), F.hex(F.min("min_key")), F.hex(F.max("max_key")), F.max("max_seq")).first()
+        run = Run(0, path, ends[0] or 0, self.files.size(path), ends[1] or "", ends[2] or "", ends[3] or 0, filters)
+        if not run.entry_count:
+            self._discard(run)
             return None
-        return Run(self.manifest.next_id, name, ends[0], self.files.size(name), ends[1], ends[2])
+        return run
+
+    def _discard(self, run: Run | None) -> None:
+        """Delete the files of a run that wasn't committed."""
+        if run is not None:
+            self.files.delete(run.path)
+            if run.filters:
+                self.files.delete(run.filters)
 
     def _read(self, run: Run) -> DataFrame:
         return self.spark.read.schema(run_record()).parquet(self.files.full(run.path))
@@ -252,13 +332,17 @@ class Store:
         return found or [self.spark.createDataFrame([], run_record())]
 
     def get(self, key: bytes | str) -> bytes | None:
-        """The live value of one key, or None."""
+        """The live value of one key, or None.
+
+        A run is passed over where its keys end before the key or its filters
+        exclude it; the others are asked in one job, as a late row may make an
+        older run the newer one for this key.
+        """
         key = _bytes(key)
         if key in self.memtable:
             _, deleted, value = self.memtable[key]
             return None if deleted else value
-        named = key.hex().upper()
-        runs = [r for r in self.manifest.runs if r.min_key <= named <= r.max_key]
+        runs = self._may_hold(key)
         self.stats_.bloom_skips += len(self.manifest.runs) - len(runs)
         self.stats_.table_probes += len(runs)
         if not runs:
@@ -266,6 +350,17 @@ class Store:
         row = lookup.point_get([self._read(r) for r in runs], F.lit(key)).first()
         return None if row is None else bytes(row["value"])
 
+    def _may_hold(self, key: bytes) -> list[Run]:
+        """The runs that the ends of their keys and their filters don't exclude; one small read for all filters."""
+        named = key.hex().upper()
+        runs = [r for r in self.manifest.runs if r.min_key <= named <= r.max_key]
+        paths = [self.files.full(r.filters) for r in runs if r.filters]
+        if not paths:
+            return runs
+        rows = self.spark.read.schema(FILTER).parquet(*paths).where((F.col("min_key") <= F.lit(key)) & (F.col("max_key") >= F.lit(key)))
+        held = {r.run for r in rows.select("run", "bloom").collect() if Bloom.deserialize(bytes(r.bloom)).may_contain([key])[0]}
+        return [r for r in runs if not r.filters or r.path in held]
+
     def multi_get(self, keys: DataFrame) -> DataFrame:
         """``(key, value)`` for each row of ``keys``, in one job."""
         return lookup.multi_get(self.sources(), keys.select(F.col("key").cast("binary").alias("key")))
@@ -287,21 +382,40 @@ class Store:
 
     def _maybe_compact(self) -> None:
         while n := pick_compaction([r.file_size for r in self.manifest.runs], self.options.compaction_trigger):
-            self._compact_newest(n)
+            if not self._compact_newest(n):
+                return  # whoever came first looks after it
 
     def compact(self) -> None:
-        """Flush, and merge all runs into one without tombstones."""
+        """Flush, and merge all runs into one without tombstones.
+
+        The merged run's last number becomes the floor.  Compactions that come
+        by themselves keep their tombstones and leave the floor where it is, so
+        that rows may come late.
+        """
         self.flush()
-        if self.manifest.runs:
-            self._compact_newest(len(self.manifest.runs))
-
-    def _compact_newest(self, n: int) -> None:
-        inputs, rest = self.manifest.runs[:n], self.manifest.runs[n:]
-        whole = not rest
-        merged = self._write_run(merge.merge_runs([self._read(r) for r in inputs], drop_tombstones=whole))
-        floor = max(self.manifest.floor, self.manifest.next_seq - 1) if whole else self.manifest.floor
-        self._commit(runs=((merged,) if merged else ()) + rest, next_id=self.manifest.next_id + 1, floor=floor)
+        for _ in range(COMMIT_TRIES):
+            if not self.manifest.runs or self._compact_newest(len(self.manifest.runs), drop_tombstones=True):
+                return
+        raise Conflict("other writers kept adding runs")
+
+    def _compact_newest(self, n: int, drop_tombstones: bool = False) -> bool:
+        """Merge the n newest runs; False, and nothing changed, where another writer's commit got in the way."""
+        inputs = self.manifest.runs[:n]
+        merged = self._write_run(merge.merge_runs([self._read(r) for r in inputs], drop_tombstones))
+
+        def change(m: Manifest) -> Manifest | None:
+            at = m.runs.index(inputs[0]) if inputs[0] in m.runs else 0
+            if m.runs[at : at + n] != inputs or drop_tombstones and m.runs != inputs:
+                return None
+            new = (replace(merged, run_id=m.next_id),) if merged else ()
+            floor = max(m.floor, m.next_seq - 1) if drop_tombstones else m.floor
+            return replace(m, runs=m.runs[:at] + new + m.runs[at + n :], next_id=m.next_id + 1, floor=floor)
+
+        if not self._commit(change):
+            self._discard(merged)
+            return False
         self.stats_.compactions += 1
+        return True
 
     def stats(self) -> Stats:
         runs = self.manifest.runs
@@ -313,14 +427,45 @@ class Store:
         Readers of an older version may still be at work, so this is left to the
         owner of the store.
         """
-        needed = {r.path.split("/")[1] for r in self.manifest.runs}
-        gone = [f"{RUNS}/{n}" for n in self.files.names(RUNS) if n not in needed]
+        needed = {r.path for r in self.manifest.runs} | {r.filters for r in self.manifest.runs}
+        gone = [f"{folder}/{n}" for folder in (RUNS, FILTERS) for n in self.files.names(folder) if f"{folder}/{n}" not in needed]
         gone += [f"{MANIFEST}/{n}" for n in self.files.names(MANIFEST) if n.endswith(".json") and int(n[:-5]) < self.manifest.version]
         for name in gone:
             self.files.delete(name)
         return gone
 
 
+def filters_of(keys: DataFrame, run: str, bits_per_key: int) -> DataFrame:
+    """One row for each ``FILTER_KEYS`` keys of a task: their number, ends, last ``seq`` and Bloom filter.
+
+    Nothing is shuffled.  Where the keys are sorted, the ends are close together
+    and a lookup reads the few filters whose ends hold its key.
+    """
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def row() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            names = table["key"].to_pylist()
+            top = max(table["seq"].to_pylist())
+            bloom = Bloom.of(names, bits_per_key).serialize()
+            kinds = [pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
+            values = [run, len(names), min(names), max(names), top, bloom]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], ["run", "n", "min_key", "max_key", "max_seq", "bloom"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= FILTER_KEYS:
+                yield row()
+                held = []
+        if held:
+            yield row()
+
+    return keys.select("seq", "key").mapInArrow(build, FILTER)
+
+
 def _bytes(x: bytes | str) -> bytes:
     return x.encode() if isinstance(x, str) else x
 
