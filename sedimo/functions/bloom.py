@@ -138,19 +138,43 @@ def build_filters(runs: DataFrame, bits_per_key: int, by: str = "run_id") -> Dat
     return runs.select(F.col(by).cast("long").alias(by), "key").groupBy(by).applyInArrow(build, f"{by} long, bloom binary")
 
 
-def probe_filters(pairs: DataFrame) -> DataFrame:
-    """Add ``maybe`` to rows of ``key`` and ``bloom``."""
-
-    def probe(keys: pa.Array, blooms: pa.Array) -> pa.Array:
-        filters: dict[bytes, Bloom] = {}
-        groups: dict[bytes, list[int]] = {}
-        names = _as_bytes(keys)
-        for i, raw in enumerate(blooms.to_pylist()):
-            groups.setdefault(raw, []).append(i)
-        out = np.zeros(len(names), bool)
-        for raw, at in groups.items():
-            f = filters.setdefault(raw, Bloom.deserialize(raw))
-            out[at] = f.may_contain([names[i] for i in at])
-        return pa.array(out)
-
-    return pairs.withColumn("maybe", F.arrow_udf(probe, "boolean")("key", "bloom"))
+def probe_filters(asked: DataFrame, filters: DataFrame, by: str = "run_id") -> DataFrame:
+    """``(by, key, maybe)`` for each row ``(by, key)``: whether the filter of its run may hold the key.
+
+    A filter meets all keys asked of it once, in one task; a run without a
+    filter may hold every key.
+    """
+
+    def probe(keys: pa.Table, blooms: pa.Table) -> pa.Table:
+        raw = blooms["bloom"][0].as_py() if blooms.num_rows else b""
+        found = Bloom.deserialize(raw).may_contain(_as_bytes(keys["key"].combine_chunks()))
+        return pa.table([keys[by], keys["key"], pa.array(found, pa.bool_())], names=[by, "key", "maybe"])
+
+    kind = asked.schema["key"].dataType.simpleString()
+    wanted = asked.select(F.col(by).cast("long").alias(by), "key")
+    return wanted.groupBy(by).cogroup(filters.groupBy(by)).applyInArrow(probe, f"{by} long, key {kind}, maybe boolean")
+
+
+def key_hashes(keys: DataFrame) -> DataFrame:
+    """``(key, h1, h2)``: the two hashes of each row's key, as signed numbers."""
+
+    def hashes(names: pa.Array) -> pa.Array:
+        h1, h2 = hash_pairs(_as_bytes(names))
+        return pa.StructArray.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], ["h1", "h2"])
+
+    return keys.select("key", F.arrow_udf(hashes, "h1 long, h2 long")("key").alias("h")).select("key", "h.h1", "h.h2")
+
+
+def filter_figures(filters: DataFrame, by: str = "run_id") -> DataFrame:
+    """``(by, bits, hashes, bits_set, place_sum)`` of each serialized filter: its parameters, and how many places are set and their sum."""
+
+    def figures(blooms: pa.Array) -> pa.Array:
+        rows = []
+        for raw in blooms:
+            f = Bloom.deserialize(raw.as_py())
+            at = np.flatnonzero(np.unpackbits(f.data, bitorder="little")) if f.bits else np.empty(0, np.int64)
+            rows.append((f.bits, f.hashes, len(at), int(at.sum())))
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        return pa.StructArray.from_arrays([pa.array(list(c), pa.int64()) for c in columns], ["bits", "hashes", "bits_set", "place_sum"])
+
+    return filters.select(by, F.arrow_udf(figures, "bits long, hashes long, bits_set long, place_sum long")("bloom").alias("f")).select(by, "f.*")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimo.functions.codec import LOG_NAME, RUN_NAME, Mutation, RunFile, parse_id, replay_log, write_run
+from sedimo.functions.codec import LOG_NAME, RUN_NAME, Mutation, RunFile, log_record, parse_id, replay_log, write_run
 from sedimo.schema import DEL, PUT
 
 ROWS = 10_000
@@ -25,7 +25,12 @@ def _files(spark: SparkSession, path: str, glob: str, pattern: str, name: str) -
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """``(wal_id, ordinal, op, key, value)``: the longest valid prefix of every ``wal-N.log`` in a folder."""
+    """:func:`parse_logs` of every ``wal-N.log`` in a folder."""
+    return parse_logs(_files(spark, path, "wal-*.log", LOG_NAME, "wal_id"))
+
+
+def parse_logs(files: DataFrame) -> DataFrame:
+    """``(wal_id, ordinal, op, key, value)``: the longest valid prefix of every log of ``(wal_id, content)``."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -42,7 +47,33 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
                     ]
                     yield pa.RecordBatch.from_arrays(columns, ["wal_id", "ordinal", "op", "key", "value"])
 
-    return _files(spark, path, "wal-*.log", LOG_NAME, "wal_id").mapInArrow(parse, "wal_id long, ordinal long, op string, key binary, value binary")
+    return files.select("wal_id", "content").mapInArrow(parse, "wal_id long, ordinal long, op string, key binary, value binary")
+
+
+def log_files(log: DataFrame) -> DataFrame:
+    """``(wal_id, content)``: the bytes of each log of ``(wal_id, seq, op, key, value)``, its records by ``seq``.
+
+    A log is built in memory by one task; logs are bounded, as each flush starts
+    a new one.
+    """
+
+    def build(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table[c].to_pylist() for c in ("seq", "op", "key", "value")), strict=True), key=lambda r: r[0])
+        content = b"".join(log_record(Mutation(op == DEL, k, b"" if op == DEL or v is None else v)) for _, op, k, v in rows)
+        return pa.table({"wal_id": [key[0].as_py()], "content": [content]}, schema=pa.schema([("wal_id", pa.int64()), ("content", pa.binary())]))
+
+    plain = log.select(F.col("wal_id").cast("long"), "seq", "op", F.col("key").cast("binary"), F.col("value").cast("binary"))
+    return plain.groupBy("wal_id").applyInArrow(build, "wal_id long, content binary")
+
+
+def log_records(log: DataFrame) -> DataFrame:
+    """``(seq, record)``: the bytes of each mutation's log record."""
+
+    def encode(ops: pa.Array, keys: pa.Array, values: pa.Array) -> pa.Array:
+        rows = zip(ops.to_pylist(), keys.to_pylist(), values.to_pylist(), strict=True)
+        return pa.array([log_record(Mutation(op == DEL, k, b"" if op == DEL or v is None else v)) for op, k, v in rows], pa.binary())
+
+    return log.select("seq", F.arrow_udf(encode, "binary")("op", F.col("key").cast("binary"), F.col("value").cast("binary")).alias("record"))
 
 
 def log_health(spark: SparkSession, path: str) -> DataFrame:
@@ -58,7 +89,12 @@ def log_health(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """``(run_id, key, deleted, value)`` of every ``N.sst`` in a folder; fails on a corrupt one."""
+    """:func:`parse_runs` of every ``N.sst`` in a folder."""
+    return parse_runs(_files(spark, path, "*.sst", RUN_NAME, "run_id"))
+
+
+def parse_runs(files: DataFrame) -> DataFrame:
+    """``(run_id, key, deleted, value)`` of every run file of ``(run_id, content)``; fails on a corrupt one."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,7 +108,20 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
                     ]
                     yield pa.RecordBatch.from_arrays(columns, ["run_id", "key", "deleted", "value"])
 
-    return _files(spark, path, "*.sst", RUN_NAME, "run_id").mapInArrow(parse, "run_id long, key binary, deleted boolean, value binary")
+    return files.select("run_id", "content").mapInArrow(parse, "run_id long, key binary, deleted boolean, value binary")
+
+
+def run_layouts(files: DataFrame) -> DataFrame:
+    """``(run_id, entries, index_entries, filter_bytes, file_bytes)``: what the footer of each run file says."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [c.as_py() for c in batch.column(1)]
+            runs = list(map(RunFile, raw))
+            figures = [[r.entry_count for r in runs], [len(r.index) for r in runs], [len(r.bloom.serialize()) for r in runs], list(map(len, raw))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(f, pa.int64()) for f in figures)], ["run_id", "entries", "index_entries", "filter_bytes", "file_bytes"])
+
+    return files.select("run_id", "content").mapInArrow(parse, "run_id long, entries long, index_entries long, filter_bytes long, file_bytes long")
 
 
 def run_files(runs: DataFrame, bits_per_key: int = 10) -> DataFrame:
