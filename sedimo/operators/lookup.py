@@ -12,6 +12,10 @@ from sedimo.schema import INDEX_INTERVAL, RECORD_OVERHEAD
 
 #: Lookup keys are sent to all executors up to this many; above, they are shuffled.
 BROADCAST_KEYS = 100_000
+#: Bytes that those keys may have all together.
+BROADCAST_BYTES = 16 << 20
+#: Ranges that a run's keys are sorted in, the sample that decides them, and the bytes of a cut.
+RANGES, SAMPLE, CUT_BYTES = 64, 4096, 64
 
 
 def _only(versions: DataFrame, keys: DataFrame, small: bool) -> DataFrame:
@@ -24,11 +28,12 @@ def state_of(sources: Sequence[DataFrame], keys: DataFrame, small: bool | None =
     """The newest version of each wanted key, tombstones included.
 
     Spark doesn't push a join below an aggregate, so the keys go to the sources
-    first.  They are broadcast only when a count shows that they are few;
-    ``small`` says so without counting.
+    first.  They are broadcast only when a count shows that they are few, and
+    small all together; ``small`` says so without counting.
     """
     if small is None:
-        small = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+        n, size = keys.limit(BROADCAST_KEYS + 1).agg(F.count("*"), F.coalesce(F.sum(F.octet_length("key")), F.lit(0))).first()
+        small = n <= BROADCAST_KEYS and size <= BROADCAST_BYTES
     return lww(_only(union_runs(sources), keys, small))
 
 
@@ -54,14 +59,23 @@ def three_state(sources: Sequence[DataFrame], keys: DataFrame, small: bool | Non
     return keys.select("key").join(state, "key", "left").select("key", said.alias("state"))
 
 
-def probe_accounting(runs: DataFrame, keys: DataFrame, n_runs: int) -> DataFrame:
+def probe_accounting(runs: DataFrame, keys: DataFrame, n_runs: DataFrame) -> DataFrame:
     """``(key, probes)`` without filters: runs searched, newest first, until one has the key.
 
-    ``runs`` has ``pos`` (0 is the newest) and ``key``.  A tombstone ends the
-    search like a value; an unseen key costs all runs.
+    ``runs`` has ``pos`` (0 is the newest) and ``key``; ``n_runs`` is one row
+    ``n``, their number.  A tombstone ends the search like a value; an unseen
+    key costs all runs.
     """
     first = runs.join(keys.select("key").distinct(), "key", "left_semi").groupBy("key").agg((F.min("pos") + 1).alias("first"))
-    return keys.select("key").join(first, "key", "left").select("key", F.coalesce("first", F.lit(n_runs)).cast("long").alias("probes"))
+    asked = keys.select("key").join(first, "key", "left").join(F.broadcast(n_runs))  # one row
+    return asked.select("key", F.coalesce("first", "n").cast("long").alias("probes"))
+
+
+def every_pair(keys: DataFrame, runs: DataFrame) -> DataFrame:
+    """Each lookup key with each run, which is what asking every run's filter takes; dealt by a hash of the key."""
+    slot = F.pmod(F.xxhash64("key"), F.lit(RANGES)).cast("int")
+    dealt = runs.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(RANGES - 1))))
+    return keys.select("key", slot.alias("_slot")).join(dealt, "_slot").drop("_slot")
 
 
 def record_bytes(key: str = "key", value: str = "value") -> Column:
@@ -69,51 +83,94 @@ def record_bytes(key: str = "key", value: str = "value") -> Column:
     return F.octet_length(key) + F.coalesce(F.octet_length(value), F.lit(0)) + RECORD_OVERHEAD
 
 
-def with_positions(run: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Add each record's ``ordinal`` and byte ``offset`` in its run, in key order.
+def cuts_of(keys: DataFrame, parts: int = RANGES) -> list:
+    """At most ``parts - 1`` keys, or beginnings of them, that cut ``keys`` into even ranges.
 
-    A run is one sorted file here, which is what the positions are about; ``by``
-    names the columns that tell runs apart.
+    They come from a sample of fixed size; where they fall changes how work is
+    spread and never a result.
     """
-    order = Window.partitionBy(*by).orderBy("key")
-    before = F.sum(record_bytes()).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return run.withColumn("ordinal", F.row_number().over(order) - 1).withColumn("offset", F.coalesce(before, F.lit(0)).cast("long"))
+    seen = keys.select(F.substring("key", 1, CUT_BYTES).alias("k")).orderBy(F.rand(7)).limit(SAMPLE).collect()
+    found = sorted({bytes(r.k) if isinstance(r.k, bytearray) else r.k for r in seen if r.k is not None})
+    return found[:: max(1, -(-len(found) // parts))][1:]
+
 
+def range_of(key: Column, cuts: Sequence) -> Column:
+    """The range that a key is in: how many cuts aren't above it."""
+    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= key)) if cuts else F.lit(0)
 
-def sparse_index(run: DataFrame, by: Sequence[str] = (), interval: int = INDEX_INTERVAL) -> DataFrame:
-    """``(by, key, ordinal, offset)`` of every ``interval``-th record of each run."""
-    return with_positions(run, by).where(F.col("ordinal") % interval == 0).select(*by, "key", "ordinal", "offset")
 
+def _carried(rows: DataFrame, by: Sequence[str], ranges: int) -> DataFrame:
+    """``(by, _range, key, ordinal)``: for each range of each run the last record of the ranges before, null where there is none."""
+    grid = rows.select(*by).distinct().withColumn("_range", F.explode(F.sequence(F.lit(0), F.lit(ranges - 1))))
+    last = rows.groupBy(*by, "_range").agg(F.max(F.struct("key", "ordinal")).alias("last"))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = grid.join(last, [*by, "_range"], "left").withColumn("last", F.last("last", True).over(before))
+    return carried.select(*by, "_range", "last.key", "last.ordinal")
 
-def sparse_index_seek(index: DataFrame, targets: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """For each target the greatest index key that isn't above it; no row before the first.
 
-    Both sides are laid in one order and the last index key carried forward, so
-    the seek is one sort for each run and no join on ranges.
+def with_positions(run: DataFrame, by: Sequence[str], cuts: Sequence = ()) -> DataFrame:
+    """Add each record's ``ordinal`` and byte ``offset`` in its run, in key order, and its ``_range``.
+
+    ``by`` names the columns that tell runs apart.  A task sorts one range of
+    one run; sums over the ranges before tell where it begins.
+    """
+    dealt = run.withColumn("_range", range_of(F.col("key"), cuts))
+    sums = dealt.groupBy(*by, "_range").agg(F.count("*").alias("n"), F.sum(record_bytes()).alias("bytes"))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*by, "_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_n"), F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("_bytes"))
+    order = Window.partitionBy(*by, "_range").orderBy("key")
+    inside = F.coalesce(F.sum(record_bytes()).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = dealt.withColumn("_inside", inside).withColumn("_nth", F.row_number().over(order)).join(starts, [*by, "_range"])
+    placed = placed.withColumn("ordinal", F.col("_n") + F.col("_nth") - 1).withColumn("offset", (F.col("_bytes") + F.col("_inside")).cast("long"))
+    return placed.drop("_n", "_bytes", "_inside", "_nth")
+
+
+def sparse_index(run: DataFrame, by: Sequence[str], cuts: Sequence = (), interval: int = INDEX_INTERVAL) -> DataFrame:
+    """``(by, key, ordinal, offset, _range)`` of every ``interval``-th record of each run."""
+    return with_positions(run, by, cuts).where(F.col("ordinal") % interval == 0).select(*by, "key", "ordinal", "offset", "_range")
+
+
+def _last_at_or_before(rows: DataFrame, asks: DataFrame, by: Sequence[str], ranges: int) -> DataFrame:
+    """``asks`` with ``key`` and ``ordinal`` of the greatest key of their run that isn't above ``target``.
+
+    Both sides are laid in one order within each range, behind what the ranges
+    before carry over, so it takes one sort and no join on ranges of keys.
+    """
+    extra = [c for c in asks.columns if c not in (*by, "_range", "target")]
+    kinds = dict(asks.dtypes)
+    none = [F.lit(None).cast(kinds[c]).alias(c) for c in extra]
+    known = rows.select(*by, "_range", "key", "ordinal").unionByName(_carried(rows, by, ranges).where("key is not null"))
+    here = known.select(*by, "_range", F.col("key").alias("at"), F.lit(0).alias("kind"), F.struct("key", "ordinal").alias("last"), *none)
+    ask = asks.select(*by, "_range", F.col("target").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(here.schema["last"].dataType).alias("last"), *extra)
+    order = Window.partitionBy(*by, "_range").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = here.unionByName(ask).withColumn("last", F.last("last", True).over(order)).where("kind = 1 and last is not null")
+    return found.select(*by, "_range", F.col("at").alias("target"), *extra, "last.key", "last.ordinal")
+
+
+def sparse_index_seek(index: DataFrame, targets: DataFrame, by: Sequence[str], cuts: Sequence = ()) -> DataFrame:
+    """For each target and run the greatest index key that isn't above it; no row before the first.
+
+    A target meets the runs in its range of keys, so what is joined is as many
+    rows as the result has.
     """
-    runs = index.select(*by).distinct() if by else None
-    wanted = targets.select(F.col("key").alias("target")).distinct()
-    wanted = wanted.join(runs, how="cross") if by else wanted
-    here = index.select(*by, F.col("key").alias("at"), F.lit(0).alias("kind"), F.col("key").alias("block"), F.col("ordinal").alias("first"))
-    ask = wanted.select(*by, F.col("target").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(index.schema["key"].dataType).alias("block"), F.lit(None).cast("int").alias("first"))
-    order = Window.partitionBy(*by).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = here.unionByName(ask).withColumn("block", F.last("block", True).over(order)).withColumn("first", F.last("first", True).over(order))
-    return found.where("kind = 1 and block is not null").select(*by, F.col("at").alias("target"), "block", F.col("first").cast("long").alias("first"))
+    wanted = targets.select(F.col("key").alias("target")).distinct().withColumn("_range", range_of(F.col("target"), cuts))
+    ranges = len(cuts) + 1
+    runs = index.select(*by).distinct().withColumn("_range", F.explode(F.sequence(F.lit(0), F.lit(ranges - 1))))
+    found = _last_at_or_before(index, wanted.join(runs, "_range"), by, ranges)
+    return found.select(*by, "target", F.col("key").alias("block"), F.col("ordinal").cast("long").alias("first"))
 
 
-def block_scan_cost(run: DataFrame, seeks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def block_scan_cost(run: DataFrame, seeks: DataFrame, by: Sequence[str], cuts: Sequence = ()) -> DataFrame:
     """``(by, target, records)``: records read from the block's first until the key, a greater one or the end.
 
     A key that falls after the last of its block also reads the next block's
     first record.  ``by`` names the columns that tell runs apart.
     """
-    at = with_positions(run, by).select(*by, "key", "ordinal")
-    order = Window.partitionBy(*by).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    here = at.select(*by, F.col("key").alias("at"), F.lit(0).alias("kind"), F.col("key"), F.col("ordinal").cast("long").alias("ordinal"), F.lit(None).cast("long").alias("first"))
-    ask = seeks.select(*by, F.col("target").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(run.schema["key"].dataType).alias("key"), F.lit(None).cast("long").alias("ordinal"), "first")
+    at = with_positions(run, by, cuts)
+    asks = seeks.select(*by, "target", "first").withColumn("_range", range_of(F.col("target"), cuts))
+    last = _last_at_or_before(at, asks, by, len(cuts) + 1)
     total = at.groupBy(*by).agg(F.count("*").alias("total"))
-    last = here.unionByName(ask).withColumn("key", F.last("key", True).over(order)).withColumn("ordinal", F.last("ordinal", True).over(order))
     # Equal: read up to it.  Absent: up to the next record, where there is one.
-    end = F.when(F.col("key") == F.col("at"), F.col("ordinal")).otherwise(F.least(F.col("ordinal") + 1, F.col("total") - 1))
-    cost = last.where("kind = 1").join(F.broadcast(total), list(by) or None).withColumn("records", end - F.col("first") + 1)
-    return cost.select(*by, F.col("at").alias("target"), F.col("records").cast("long").alias("records"))
+    end = F.when(F.col("key") == F.col("target"), F.col("ordinal")).otherwise(F.least(F.col("ordinal") + 1, F.col("total") - 1))
+    cost = last.join(total, list(by)).withColumn("records", end - F.col("first") + 1)
+    return cost.select(*by, "target", F.col("records").cast("long").alias("records"))

@@ -6,17 +6,21 @@ the key, an error a deletion.  Runs are a thousand events each.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sedimo.functions.bloom import bloom_params_columns, build_filters, probe_filters
+from sedimo.functions.bloom import FNV_BASIS, FNV_PRIME, MIX_1, MIX_2, SECOND_SEED, bloom_params_columns, build_filters, filter_figures, key_hashes, probe_filters
 from sedimo.functions.codec import LOG_DELETE, LOG_NAME, LOG_PUT, RUN_NAME, log_name, parse_id, run_name
 from sedimo.operators import lookup, merge
-from sedimo.operators.policy import LayoutModel, pick_compaction_rows
+from sedimo.operators.policy import LayoutModel, pick_compaction_rows, settle
 from sedimo.schema import BLOOM_HEADER_BYTES, FOOTER_BYTES, INDEX_OVERHEAD, MEMTABLE_ENTRY_OVERHEAD, Options
+from sedimo.sources import interchange
+from sedimo.sources.files import shared_root
+from sedimo.sources.store import Store
 
 RUN = 1000
 NEWEST = 4
@@ -66,14 +70,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def mutations(spark: SparkSession, sf_dir: str, value: str = "props") -> DataFrame:
-    """The event log with one of its columns as the value."""
+def mutations(spark: SparkSession, sf_dir: str, value: str = "props", only: Column | None = None) -> DataFrame:
+    """The event log with one of its columns as the value; ``only`` is a condition on the table's own columns, which reaches the scan."""
     e = table(spark, sf_dir, "events")
+    e = e if only is None else e.where(only)
     return merge.normalise(e, F.col("event_id"), F.col("user_id").cast("string"), F.col(value), F.col("event_type") == "error")
 
 
-def versions(spark: SparkSession, sf_dir: str, value: str = "props") -> DataFrame:
-    return merge.as_versions(mutations(spark, sf_dir, value))
+def versions(spark: SparkSession, sf_dir: str, value: str = "props", only: Column | None = None) -> DataFrame:
+    return merge.as_versions(mutations(spark, sf_dir, value, only))
+
+
+def key_cuts(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Cuts of the keys into even ranges, from a sample of the log."""
+    return lookup.cuts_of(mutations(spark, sf_dir).select("key"))
 
 
 def run_of(seq: str = "seq") -> Column:
@@ -125,7 +135,7 @@ def memtable_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {STATE} SELECT key, value FROM state WHERE key = '13' AND NOT deleted")
 def point_get(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.point_get([versions(spark, sf_dir)], F.lit("13"))
+    return lookup.point_get([versions(spark, sf_dir, only=F.col("user_id") == 13)], F.lit("13"))
 
 
 @query(
@@ -156,9 +166,10 @@ def flush_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_runs(spark, sf_dir)
 
 
-@query(f"WITH {RUNS} SELECT key, deleted, value FROM runs WHERE run_id = 0 ORDER BY key")
+@query(f"WITH {RUNS} SELECT run_id, key, deleted, value FROM runs ORDER BY run_id, key")
 def run_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return all_runs(spark, sf_dir).where("run_id = 0").select("key", "deleted", "value").orderBy("key")
+    """Every run in key order."""
+    return all_runs(spark, sf_dir).select("run_id", "key", "deleted", "value").orderBy("run_id", "key")
 
 
 @query(
@@ -237,9 +248,9 @@ def lookup_three_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM customer LEFT JOIN first f ON f.key = CAST(c_custkey AS VARCHAR)"""
 )
 def probe_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = all_runs(spark, sf_dir)
-    last, n = table(spark, sf_dir, "events").agg(F.max(run_of("event_id")), F.count_distinct(run_of("event_id"))).first()
-    return lookup.probe_accounting(runs.withColumn("pos", F.lit(last) - F.col("run_id")), wanted(spark, sf_dir), n)
+    found = table(spark, sf_dir, "events").agg(F.max(run_of("event_id")).alias("last"), F.count_distinct(run_of("event_id")).alias("n"))  # one row
+    runs = all_runs(spark, sf_dir).join(F.broadcast(found)).withColumn("pos", F.col("last") - F.col("run_id"))
+    return lookup.probe_accounting(runs, wanted(spark, sf_dir), found.select("n"))
 
 
 @query(
@@ -248,8 +259,8 @@ def probe_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM sized QUALIFY ordinal % 16 = 0"""
 )
 def sparse_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lookup.sparse_index(all_runs(spark, sf_dir), ["run_id"])
-    return found.withColumn("ordinal", F.col("ordinal").cast("long"))
+    found = lookup.sparse_index(all_runs(spark, sf_dir), ["run_id"], key_cuts(spark, sf_dir))
+    return found.select("run_id", "key", F.col("ordinal").cast("long").alias("ordinal"), "offset")
 
 
 @query(
@@ -258,20 +269,23 @@ def sparse_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     GROUP BY run_id, target"""
 )
 def sparse_index_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = lookup.sparse_index(all_runs(spark, sf_dir), ["run_id"])
-    return lookup.sparse_index_seek(index, wanted(spark, sf_dir), ["run_id"]).select("run_id", "target", "block")
+    cuts = key_cuts(spark, sf_dir)
+    index = lookup.sparse_index(all_runs(spark, sf_dir), ["run_id"], cuts)
+    return lookup.sparse_index_seek(index, wanted(spark, sf_dir), ["run_id"], cuts).select("run_id", "target", "block")
 
 
 @query(
-    f"""WITH {RUNS}, r AS (SELECT key, ordinal FROM sized WHERE run_id = 0), t AS (SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS target FROM customer),
-    first AS (SELECT target, max(ordinal) AS first FROM r JOIN t ON key <= target WHERE ordinal % 16 = 0 GROUP BY target),
-    stop AS (SELECT target, min(ordinal) AS stop FROM r JOIN t ON key >= target GROUP BY target)
-    SELECT target, CAST(coalesce(stop, (SELECT max(ordinal) FROM r)) - first + 1 AS BIGINT) AS records FROM first LEFT JOIN stop USING (target)"""
+    f"""WITH {RUNS}, t AS (SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS target FROM customer),
+    first AS (SELECT run_id, target, max(ordinal) AS first FROM sized JOIN t ON key <= target WHERE ordinal % 16 = 0 GROUP BY run_id, target),
+    stop AS (SELECT run_id, target, min(ordinal) AS stop FROM sized JOIN t ON key >= target GROUP BY run_id, target),
+    ends AS (SELECT run_id, max(ordinal) AS last FROM sized GROUP BY run_id)
+    SELECT run_id, target, CAST(coalesce(stop, last) - first + 1 AS BIGINT) AS records FROM first LEFT JOIN stop USING (run_id, target) JOIN ends USING (run_id)"""
 )
 def block_scan_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = all_runs(spark, sf_dir).where("run_id = 0").select("key", "value")
-    seeks = lookup.sparse_index_seek(lookup.sparse_index(run), wanted(spark, sf_dir))
-    return lookup.block_scan_cost(run, seeks)
+    """What a lookup reads in every run."""
+    runs, cuts = all_runs(spark, sf_dir).select("run_id", "key", "value"), key_cuts(spark, sf_dir)
+    seeks = lookup.sparse_index_seek(lookup.sparse_index(runs, ["run_id"], cuts), wanted(spark, sf_dir), ["run_id"], cuts)
+    return lookup.block_scan_cost(runs, seeks, ["run_id"], cuts)
 
 
 @query(
@@ -279,7 +293,7 @@ def block_scan_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     + 12 + ceil(greatest(64, count(*) * {BITS}) / 8.0) + 48 AS BIGINT) AS file_bytes FROM sized GROUP BY run_id"""
 )
 def run_file_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lookup.with_positions(all_runs(spark, sf_dir), ["run_id"])
+    rows = lookup.with_positions(all_runs(spark, sf_dir), ["run_id"], key_cuts(spark, sf_dir))
     indexed = F.when(F.col("ordinal") % 16 == 0, F.octet_length("key") + INDEX_OVERHEAD).otherwise(0)
     sums = rows.groupBy("run_id").agg(F.sum(lookup.record_bytes() + indexed).alias("body"), F.count("*").alias("n"))
     bits, _ = bloom_params_columns(F.col("n"), BITS)
@@ -351,62 +365,22 @@ def parse_file_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.select("name", parse_id(F.col("name"), RUN_NAME).alias("run_id"), parse_id(F.col("name"), LOG_NAME).alias("wal_id"))
 
 
-@query(
-    """SELECT event_id AS seq, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(user_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
-        lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
-            lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)), 4294967295::BIGINT) AS crc FROM events"""
-)
-def wal_record_crc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mutations(spark, sf_dir).select("seq", F.crc32(F.col("key").cast("binary")).alias("crc"))
-
-
 @query(f"WITH {RUNS} SELECT run_id, count(*) AS keys, 0::BIGINT AS missed FROM runs GROUP BY run_id")
 def bloom_no_false_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every key of a run passes the run's filter."""
     runs = all_runs(spark, sf_dir).select("run_id", "key")
-    pairs = probe_filters(runs.join(build_filters(runs, BITS), "run_id"))
+    pairs = probe_filters(runs, build_filters(runs, BITS))
     return pairs.groupBy("run_id").agg(F.count("*").alias("keys"), F.count_if(~F.col("maybe")).alias("missed"))
 
 
-@query(
-    f"""WITH {LOG}, v AS (SELECT *, CASE WHEN NOT deleted THEN value END AS shown FROM log)
-    SELECT key, seq, deleted, shown AS value FROM v WHERE seq % 3 <> 1 QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1"""
-)
+@query(f"WITH {STATE} SELECT key, seq, deleted, value FROM state")
 def late_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs whose sequence numbers interleave, each delivered twice: the result is that of one delivery."""
-    v = versions(spark, sf_dir).where("seq % 3 <> 1")
-    even, odd = v.where("seq % 2 = 0"), v.where("seq % 2 = 1")
-    return merge.merge_runs([odd, even, odd, even], drop_tombstones=False)
-
-
-@query(f"WITH {STATE} SELECT key, seq, deleted, value FROM state")
-def late_mutations_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``late_mutations``, over every event: that one leaves out a third of them, as its SQL does."""
     v = versions(spark, sf_dir)
     even, odd = v.where("seq % 2 = 0"), v.where("seq % 2 = 1")
     return merge.merge_runs([odd, even, odd, even], drop_tombstones=False)
 
 
-@query(f"WITH {RUNS} SELECT run_id, key, deleted, value FROM runs ORDER BY run_id, key")
-def run_scan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``run_scan``, over every run."""
-    return all_runs(spark, sf_dir).select("run_id", "key", "deleted", "value").orderBy("run_id", "key")
-
-
-@query(
-    f"""WITH {RUNS}, t AS (SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS target FROM customer),
-    first AS (SELECT run_id, target, max(ordinal) AS first FROM sized JOIN t ON key <= target WHERE ordinal % 16 = 0 GROUP BY run_id, target),
-    stop AS (SELECT run_id, target, min(ordinal) AS stop FROM sized JOIN t ON key >= target GROUP BY run_id, target),
-    ends AS (SELECT run_id, max(ordinal) AS last FROM sized GROUP BY run_id)
-    SELECT run_id, target, CAST(coalesce(stop, last) - first + 1 AS BIGINT) AS records FROM first LEFT JOIN stop USING (run_id, target) JOIN ends USING (run_id)"""
-)
-def block_scan_cost_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``block_scan_cost``, in every run."""
-    runs = all_runs(spark, sf_dir).select("run_id", "key", "value")
-    seeks = lookup.sparse_index_seek(lookup.sparse_index(runs, ["run_id"]), wanted(spark, sf_dir), ["run_id"])
-    return lookup.block_scan_cost(runs, seeks, ["run_id"])
-
-
 def _field(b: Column) -> Column:
     """A byte string as the log has it: its length in four bytes, the lowest first, and its bytes."""
     n = F.octet_length(b)
@@ -426,8 +400,196 @@ def _field(b: Column) -> Column:
         lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
             lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)), 4294967295::BIGINT) AS crc FROM h"""
 )
-def wal_payload_crc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The checksum of each event's whole log record; ``wal_record_crc`` has that of the key alone."""
+def wal_record_crc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checksum of each event's log record: over its kind, lengths, key and value."""
     kind = F.when(F.col("op") == "del", F.lit(bytes([LOG_DELETE]))).otherwise(F.lit(bytes([LOG_PUT])))
     value = F.coalesce(F.col("value").cast("binary"), F.lit(b""))
     return mutations(spark, sf_dir).select("seq", F.crc32(F.concat(kind, _field(F.col("key").cast("binary")), _field(value))).alias("crc"))
+
+
+RECORD_HEX = f"""{LOG}, f AS (SELECT seq, run_id, op, key, CASE WHEN deleted THEN NULL ELSE value END AS value, deleted, hex(encode(key)) AS k,
+        hex(encode(CASE WHEN deleted THEN '' ELSE coalesce(value, '') END)) AS v FROM log),
+    h AS (
+        SELECT *, CASE WHEN deleted THEN '0{LOG_DELETE}' ELSE '0{LOG_PUT}' END
+            || array_to_string([printf('%02X', (strlen(k) // 2 // x) % 256) FOR x IN [1, 256, 65536, 16777216]], '') || k
+            || array_to_string([printf('%02X', (strlen(v) // 2 // x) % 256) FOR x IN [1, 256, 65536, 16777216]], '') || v AS h FROM f
+    )"""
+
+
+@query(
+    f"""WITH {RECORD_HEX},
+    c AS (
+        SELECT seq, h, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, strlen(h) // 2),
+                lambda i: (16 * (instr('0123456789ABCDEF', substr(h, 2 * i + 1, 1)) - 1) + instr('0123456789ABCDEF', substr(h, 2 * i + 2, 1)) - 1)::BIGINT)),
+            lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+                lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)), 4294967295::BIGINT) AS crc FROM h
+    )
+    SELECT seq, array_to_string([printf('%02X', (crc // x) % 256) FOR x IN [1, 256, 65536, 16777216]], '')
+        || array_to_string([printf('%02X', (strlen(h) // 2 // x) % 256) FOR x IN [1, 256, 65536, 16777216]], '') || h AS record FROM c"""
+)
+def wal_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes of every event's log record, in hexadecimal."""
+    return interchange.log_records(mutations(spark, sf_dir)).select("seq", F.hex("record").alias("record"))
+
+
+def damaged(content: Column, wal_id: Column) -> Column:
+    """Of every three logs one loses its last three bytes, and one has its middle byte turned over."""
+    size, middle = F.octet_length(content), (F.octet_length(content) / 2).cast("int")
+    byte = F.conv(F.hex(F.substring(content, middle + 1, 1)), 16, 10).cast("int")
+    turned = F.unhex(F.lpad(F.hex((F.lit(255) - byte).cast("long")), 2, "0"))
+    broken = F.concat(F.substring(content, F.lit(1), middle), turned, F.substring(content, middle + 2, size))
+    return F.when(wal_id % 3 == 1, F.substring(content, F.lit(1), size - 3)).when(wal_id % 3 == 2, broken).otherwise(content)
+
+
+@query(
+    f"""WITH {LOG}, r AS (
+        SELECT run_id AS wal_id, seq, op, key, CASE WHEN deleted THEN NULL ELSE value END AS value,
+               17 + strlen(key) + CASE WHEN deleted THEN 0 ELSE strlen(coalesce(value, '')) END AS bytes FROM log
+    ), e AS (
+        SELECT *, row_number() OVER w - 1 AS ordinal, sum(bytes) OVER w AS stop, sum(bytes) OVER (PARTITION BY wal_id) AS size
+        FROM r WINDOW w AS (PARTITION BY wal_id ORDER BY seq ROWS UNBOUNDED PRECEDING)
+    )
+    SELECT wal_id, ordinal, op, key, value FROM e
+    WHERE stop <= CASE wal_id % 3 WHEN 1 THEN size - 3 WHEN 2 THEN size // 2 ELSE size END"""
+)
+def wal_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs as bytes, some torn and some damaged, and what their replay gives: the records before the harm."""
+    files = interchange.log_files(mutations(spark, sf_dir).withColumn("wal_id", run_of()))
+    harmed = files.select("wal_id", damaged(F.col("content"), F.col("wal_id")).alias("content"))
+    return interchange.parse_logs(harmed).select("wal_id", "ordinal", "op", F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
+def written_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interchange.run_files(all_runs(spark, sf_dir), BITS)
+
+
+@query(f"WITH {RUNS} SELECT run_id, key, deleted, CASE WHEN NOT deleted THEN coalesce(value, '') END AS value FROM runs")
+def run_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every run written as the bytes of a file, and read back."""
+    back = interchange.parse_runs(written_runs(spark, sf_dir))
+    return back.select("run_id", F.col("key").cast("string").alias("key"), "deleted", F.col("value").cast("string").alias("value"))
+
+
+@query(
+    f"""WITH {RUNS} SELECT run_id, count(*) AS entries, CAST(ceil(count(*) / 16.0) AS BIGINT) AS index_entries,
+    CAST(12 + ceil(greatest(64, count(*) * {BITS}) / 8.0) AS BIGINT) AS filter_bytes,
+    CAST(sum(bytes) + sum(CASE WHEN ordinal % 16 = 0 THEN 12 + strlen(key) ELSE 0 END) + 12 + ceil(greatest(64, count(*) * {BITS}) / 8.0) + 48 AS BIGINT) AS file_bytes
+    FROM sized GROUP BY run_id"""
+)
+def run_file_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the footers of the written runs say, and their real sizes."""
+    return interchange.run_layouts(written_runs(spark, sf_dir))
+
+
+def _hashed(keys: str) -> str:
+    """SQL for the two hashes ``h1`` and ``h2`` of ``keys(key)``: FNV-1a from two starts, then two rounds of mixing, modulo 2**64."""
+    wrap = "% 18446744073709551616::UHUGEINT"
+
+    def start(seed: int) -> str:
+        ordered = "list_transform(string_split(key, ''), lambda c: ascii(c)::UHUGEINT)"
+        return f"list_reduce(list_prepend({FNV_BASIS ^ seed}::UHUGEINT, {ordered}), lambda h, b: (xor(h, b) * {FNV_PRIME}::UHUGEINT) {wrap})"
+
+    def mix(factor: int, source: str) -> str:
+        return f"SELECT key, " + ", ".join(f"xor({x}, {x} // 8589934592) * {factor}::UHUGEINT {wrap} AS {x}" for x in ("x", "y")) + f" FROM {source}"
+
+    return f"""started AS (SELECT key, {start(0)} AS x, {start(SECOND_SEED)} AS y FROM {keys}),
+    once AS ({mix(MIX_1, "started")}),
+    twice AS ({mix(MIX_2, "once")}),
+    hashed AS (SELECT key, xor(x, x // 8589934592) AS h1, xor(y, y // 8589934592) | 1 AS h2 FROM twice)"""
+
+
+def _signed(h: str) -> str:
+    return f"CAST(CASE WHEN {h} >= 9223372036854775808::UHUGEINT THEN {h}::HUGEINT - 18446744073709551616::HUGEINT ELSE {h}::HUGEINT END AS BIGINT)"
+
+
+@query(f"""WITH {LOG}, names AS (SELECT DISTINCT key FROM log), {_hashed("names")} SELECT key, {_signed("h1")} AS h1, {_signed("h2")} AS h2 FROM hashed""")
+def bloom_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filter's two hashes of every key."""
+    return key_hashes(mutations(spark, sf_dir).select("key").distinct())
+
+
+PLACES = f"""{RUNS}, names AS (SELECT DISTINCT key FROM runs UNION SELECT DISTINCT CAST(c_custkey AS VARCHAR) FROM customer), {_hashed("names")},
+sizes AS (SELECT run_id, CAST(ceil(greatest(64, count(*) * {BITS}) / 8.0) * 8 AS BIGINT) AS bits, CAST(least(greatest(floor({BITS} * 0.69), 1), 30) AS BIGINT) AS hashes FROM runs GROUP BY run_id),
+places AS (
+    SELECT DISTINCT run_id, bits, hashes, CAST(((h1 + i * h2) % 18446744073709551616::UHUGEINT) % bits::UHUGEINT AS BIGINT) AS place
+    FROM (SELECT run_id, bits, hashes, h1, h2, unnest(range(hashes))::UHUGEINT AS i FROM runs JOIN sizes USING (run_id) JOIN hashed USING (key))
+)"""
+
+
+@query(f"WITH {PLACES} SELECT run_id, bits, hashes, count(*) AS bits_set, CAST(sum(place) AS BIGINT) AS place_sum FROM places GROUP BY run_id, bits, hashes")
+def bloom_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bits of every run's serialized filter."""
+    return filter_figures(build_filters(all_runs(spark, sf_dir).select("run_id", "key"), BITS))
+
+
+@query(
+    f"""WITH {PLACES}, asked AS (
+        SELECT run_id, key, CAST(((h1 + i * h2) % 18446744073709551616::UHUGEINT) % bits::UHUGEINT AS BIGINT) AS place, hashes
+        FROM (SELECT run_id, key, bits, hashes, h1, h2, unnest(range(hashes))::UHUGEINT AS i
+              FROM (SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS key FROM customer) JOIN hashed USING (key), sizes)
+    ), hits AS (
+        SELECT a.run_id, a.key, count(*) = any_value(a.hashes) AS maybe FROM asked a JOIN places p ON a.run_id = p.run_id AND a.place = p.place GROUP BY a.run_id, a.key
+    )
+    SELECT run_id, (SELECT count(DISTINCT c_custkey) FROM customer) AS asked, count(*) FILTER (maybe) AS passed,
+           count(*) FILTER (maybe AND key NOT IN (SELECT key FROM runs r WHERE r.run_id = hits.run_id)) AS false_positives
+    FROM hits GROUP BY run_id"""
+)
+def bloom_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lookup keys each run's filter lets pass, and how many of those the run hasn't."""
+    runs = all_runs(spark, sf_dir).select("run_id", "key")
+    filters = build_filters(runs, BITS)
+    asked = lookup.every_pair(wanted(spark, sf_dir).distinct(), filters.select("run_id"))
+    found = probe_filters(asked, filters).join(runs.withColumn("held", F.lit(True)), ["run_id", "key"], "left")
+    return found.groupBy("run_id").agg(
+        F.count("*").alias("asked"), F.count_if("maybe").alias("passed"), F.count_if(F.col("maybe") & F.col("held").isNull()).alias("false_positives")
+    )
+
+
+@query(
+    f"""WITH RECURSIVE {RUNS}, arrivals AS (
+        SELECT g, list(file_size * (1 + run_id % g) ORDER BY run_id) AS q
+        FROM (SELECT run_id, CAST(sum(bytes) AS BIGINT) AS file_size FROM sized GROUP BY run_id), (SELECT unnest([1, 2, 3, 5, 8]) AS g) GROUP BY g
+    ), fold AS (
+        SELECT g, q, 0 AS nth, 0 AS compactions, CAST([] AS BIGINT[]) AS sizes, false AS done FROM arrivals
+        UNION ALL
+        SELECT g, q, CASE WHEN taken < {NEWEST} AND nth < len(q) THEN nth + 1 ELSE nth END, CASE WHEN taken >= {NEWEST} THEN compactions + 1 ELSE compactions END,
+               CASE WHEN taken >= {NEWEST} THEN list_prepend(CAST(list_sum(sizes[1:taken]) AS BIGINT), sizes[taken + 1:]) WHEN nth < len(q) THEN list_prepend(q[nth + 1], sizes) ELSE sizes END,
+               taken < {NEWEST} AND nth >= len(q)
+        FROM (SELECT *, coalesce(list_min(list_filter(range(2, len(sizes) + 1), lambda i: sizes[i] > list_sum(sizes[1:i - 1]))) - 1, len(sizes)) AS taken FROM fold WHERE NOT done)
+    )
+    SELECT g AS user_group, len(q) AS flushes, CAST(compactions AS BIGINT) AS compactions, len(sizes) AS runs, sizes[1] AS newest, sizes[-1] AS oldest FROM fold WHERE done"""
+)
+def compaction_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flushes and compactions as runs arrive one by one, for several lists of sizes."""
+    sizes = all_runs(spark, sf_dir).groupBy("run_id").agg(F.sum(lookup.record_bytes()).alias("size"))
+    dealt = sizes.withColumn("user_group", F.explode(F.array(*map(F.lit, (1, 2, 3, 5, 8)))))
+    arrivals = dealt.select("user_group", F.col("run_id").alias("pos"), (F.col("size") * (1 + F.col("run_id") % F.col("user_group"))).alias("file_size"))
+    found = settle(arrivals, NEWEST, ["user_group"])
+    return found.select("user_group", "flushes", "compactions", F.size("sizes").cast("long").alias("runs"), F.get("sizes", 0).alias("newest"), F.element_at("sizes", -1).alias("oldest"))
+
+
+def filled_store(spark: SparkSession, sf_dir: str) -> Store:
+    """A store in the shared folder with the log in four appends that interleave, of which the two newest are merged."""
+    log = mutations(spark, sf_dir).select("seq", "op", F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"))
+    store = Store.open(spark, f"{shared_root(spark)}/sedimo/{uuid.uuid4().hex}-store", Options(compaction_trigger=100))
+    for k in range(4):
+        store.append(log.where(F.col("seq") % 4 == k))
+    store._compact_newest(2)
+    return store
+
+
+@query(f"WITH {STATE} SELECT key, value FROM state WHERE NOT deleted")
+def store_reopened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a store shows after appends, a compaction and being opened again."""
+    again = Store.open(spark, filled_store(spark, sf_dir).files.root, Options(compaction_trigger=100))
+    return again.live().select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
+@query(
+    f"""WITH {LOG}, held AS (SELECT count(DISTINCT (CASE WHEN seq % 4 >= 2 THEN 2 ELSE seq % 4 END, key)) AS n, count(DISTINCT CASE WHEN seq % 4 >= 2 THEN 2 ELSE seq % 4 END) AS runs FROM log)
+    SELECT runs AS sstables, n AS sstable_entries, 4::BIGINT AS flushes, 1::BIGINT AS compactions FROM held"""
+)
+def store_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counters of that store."""
+    s = filled_store(spark, sf_dir).stats()
+    return spark.createDataFrame([(s.sstables, s.sstable_entries, s.flushes, s.compactions)], "sstables long, sstable_entries long, flushes long, compactions long")
