@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-CHECKPOINT_DIR = "spark.checkpoint.dir"
+from sedimo.sources.files import shared_root
+
+#: With this setting a query's shuffle files go when it ends, not when the driver happens to collect its garbage.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_made: list[str] = []
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,47 +20,66 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The shared folder: ``spark.checkpoint.dir`` as the session has it.
-
-    Only where the setting is missing and the session runs in one local JVM is
-    a temporary folder made, as in tests; a cluster without it is an error.
-    """
-    root = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
-    if root:
-        return root.rstrip("/")
-    master = spark.sparkContext.master
-    if not (master == "local" or master.startswith("local[")):
-        raise ValueError(f"{CHECKPOINT_DIR} must name a shared folder on a cluster")
-    made = tempfile.mkdtemp(prefix="sedimo-")
-    atexit.register(shutil.rmtree, made, ignore_errors=True)
-    spark.conf.set(CHECKPOINT_DIR, f"file://{made}")
-    return f"file://{made}"
+@contextmanager
+def _freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(FREE_SHUFFLES)
+        else:
+            spark.conf.set(FREE_SHUFFLES, before)
 
 
 def save(df: DataFrame, name: str, partition_by: Iterable[str] = ()) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage at a point that survives lost executors, and what is
-    expensive to make is made once.  The rows read back have a ``.scratch``
-    attribute with their path, for :func:`discard`.
+    expensive to make is made once.  The plan's shuffle files are freed at once.
+    The rows read back have a ``.scratch`` attribute with their path, for
+    :func:`discard`.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/sedimo/{uuid.uuid4().hex}-{name}"
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    _made.append(path)
+    with _freed_shuffles(spark):
+        writer.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.scratch = path
     return back
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table of :func:`save` that no later plan reads."""
-    path = getattr(df, "scratch", None)
-    if path is None:
-        return
-    spark = df.sparkSession
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`save` that no later plan reads; others are left alone."""
+    for df in tables:
+        path = getattr(df, "scratch", None)
+        if path in _made:
+            _delete(df.sparkSession, path)
+
+
+def release(spark: SparkSession, since: int = 0, keep: Iterable[DataFrame] = ()) -> None:
+    """Delete all tables of :func:`save` that this process has made after the first ``since``, but those in ``keep``.
+
+    A lazy result reads the last tables of its operator, so this is for the
+    caller who has written or consumed the results.
+    """
+    kept = {getattr(df, "scratch", None) for df in keep}
+    for path in _made[since:]:
+        if path not in kept:
+            _delete(spark, path)
+
+
+def made() -> int:
+    """How many tables of :func:`save` exist now; a mark for :func:`release`."""
+    return len(_made)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _made.remove(path)
