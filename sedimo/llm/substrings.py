@@ -15,8 +15,9 @@ a window can repeat only where its anchor does.
 
 An automaton over all references would grow with the corpus and could not be
 broadcast; the shards bring each passage to the only automaton it can match.
-An anchor with very many candidates is dealt by single windows instead, so no
-task holds all of it.
+An anchor with very many candidates would fill a shard by itself; its windows
+are compared by their hashes instead, each with the first of its kind, so no
+task holds all of them.
 """
 
 from __future__ import annotations
@@ -30,12 +31,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimo.llm.shared import save
+from sedimo.llm.shared import discard, save
 
 WINDOW = 20
 #: Words of an anchor.
 GROUP = 8
-#: Candidates of an anchor from which it is dealt by windows.
+#: Candidates of an anchor above which its windows are compared one by one; the results are the same.
 HOT = 512
 #: Words that the automaton of a shard holds, about.
 SHARD_WORDS = 100_000
@@ -59,14 +60,13 @@ def word_hashes(text: str | None) -> np.ndarray:
 
 
 def passages(h: np.ndarray, window: int, group: int) -> tuple[np.ndarray, ...]:
-    """``anchor, content, start, count, again`` of each run of windows with one anchor.
+    """``anchor, content, start, count`` of each run of windows with one anchor.
 
-    ``content`` is a hash of the run's words and the anchor's place in them;
-    ``again`` marks what this document had before.
+    ``content`` is a hash of the run's words and the anchor's place in them.
     """
     n = len(h)
     if n < window:
-        return (np.empty(0, np.int64),) * 4 + (np.empty(0, bool),)
+        return (np.empty(0, np.int64),) * 4
     g = np.zeros(n - group + 1, np.uint64)
     for j in range(group):
         g = g * np.uint64(_BASE) + h[j : n - group + 1 + j]
@@ -81,10 +81,7 @@ def passages(h: np.ndarray, window: int, group: int) -> tuple[np.ndarray, ...]:
     content = (sums[end - 1 + window] - sums[start]) * inverse[start]
     content = (content ^ (content >> np.uint64(32))) + (at[start] - start).astype(np.uint64) * _SPREAD + (end - start).astype(np.uint64)
     anchor = g[at[start]]
-    _, first = np.unique(anchor * _SPREAD + content, return_index=True)
-    again = np.ones(len(start), bool)
-    again[first] = False
-    return anchor.view(np.int64), content.view(np.int64), start, end - start, again
+    return anchor.view(np.int64), content.view(np.int64), start, end - start
 
 
 class SuffixAutomaton:
@@ -192,36 +189,44 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, group: int = GROUP, ho
     Words covered by a window whose words also start earlier, in a smaller
     doc_id or before it in the same document, are gone from ``text``; the others
     are joined by one space.  Windows are judged on the input.  Null ids come
-    after all others, as one document; rows that share an id are not earlier
-    than one another.  Null, empty and short texts have no windows and lose
-    nothing.  No rows give no rows.
+    after all others.  Rows that share an id, a null one too, count as one
+    document: what starts later in one of them repeats what starts earlier in
+    another, and equal rows lose the same words.  Null, empty and short texts have no windows and lose
+    nothing.  Very long texts are read whole; a text's words and passages are
+    held by one task.  Other columns, whatever their names, are left out.  No
+    rows give no rows.
     """
-    spark = docs.sparkSession
     text = F.col("text").cast("string")
     base = docs.select(
         F.col("doc_id").cast("long"), text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("ord"), F.xxhash64(text).alias("key")
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
         for batch in batches:
             found = [passages(word_hashes(t.as_py()), window, group) for t in batch.column(2)]
             lists = [pa.array([f[i] for f in found], pa.list_(kind)) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["ord", "key", "anchor", "content", "start", "count", "again"])
-
-    lists = "ord long, key long, anchor array<long>, content array<long>, start array<int>, count array<int>, again array<boolean>"
-    cuts = save(base.select("ord", "key", "text").mapInArrow(cut, lists), "passages")
-    each = cuts.select("ord", "key", F.explode(F.arrays_zip("anchor", "content", "start", "count", "again")).alias("p")).select("ord", "key", "p.*")
-    shared = each.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("content") != F.max("content")).alias("differ")).where("n > 1")
-    met = save(each.join(shared.drop("n"), "anchor"), "shared")
-    spark._jvm.System.gc()  # lets go of shuffle files that no plan needs any more
-
-    firsts = met.groupBy("anchor", "content").agg(F.min("ord").alias("first"))
-    judged = met.join(firsts, ["anchor", "content"]).withColumn("later", F.expr("again or ord > first")).where("later or differ")
-    judged = save(judged.select("ord", "key", "anchor", "start", "count", "later"), "judged")
-    rest = judged.where("not later")
-    many = rest.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("anchor", F.lit(True).alias("hot"))
-    asked = rest.join(many, "anchor", "left").groupBy("ord", "key").agg(F.collect_set(F.struct("start", "count", "anchor", "hot")).alias("asked"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["ord", "key", "anchor", "content", "start", "count"])
+
+    lists = "ord long, key long, anchor array<long>, content array<long>, start array<int>, count array<int>"
+    # A row's number stands for its key while passages are shuffled, as numbers of one task compress well.
+    cuts = save(base.select("ord", "key", "text").mapInArrow(cut, lists).withColumn("row", F.monotonically_increasing_id()), "passages")
+    names = save(cuts.select("row", "ord", "key"), "names")
+    anchors = cuts.select(F.explode("anchor").alias("anchor"))
+    repeated = save(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "repeated")
+    each = cuts.select("row", "ord", F.explode(F.arrays_zip("anchor", "content", "start", "count")).alias("p")).select("row", "ord", "p.*")
+    met = save(each.join(repeated, "anchor", "left_semi"), "shared")
+    discard(cuts, repeated)
+
+    # Tables between the joins, so that a join reads plain shuffles and a hot key's rows can be split among tasks.
+    firsts = save(met.groupBy("anchor", "content").agg(F.min(F.struct("ord", "start")).alias("first")), "firsts")
+    judged = met.join(firsts, ["anchor", "content"]).withColumn("later", F.struct("ord", "start") > F.col("first"))
+    judged = save(judged.select("row", "anchor", "start", "count", "later"), "judged")
+    discard(met)
+    several = firsts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", (F.col("n") > hot).alias("hot"))
+    rest = save(judged.where("not later").join(several, "anchor").select("row", "anchor", "start", "count", "hot"), "candidates")
+    discard(firsts)
+    asked = rest.join(names, "row").groupBy("ord", "key").agg(F.collect_set(F.struct("start", "count", "anchor", "hot")).alias("asked"))
     shards = max(1, math.ceil(rest.count() * (window + 6) / shard_words))
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,23 +237,29 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, group: int = GROUP, ho
                 for w in wanted.as_py():
                     start, count = w["start"], w["count"]
                     if not w["hot"]:
-                        rows.append((w["anchor"] % shards, doc.as_py(), key.as_py(), start, h[start : start + count - 1 + window]))
+                        rows.append((w["anchor"] % shards, doc.as_py(), key.as_py(), start, h[start : start + count - 1 + window].view(np.int64)))
                         continue
                     for s in range(start, start + count):
-                        own = h[s : s + window]
-                        rows.append((xxhash.xxh3_64_intdigest(own.tobytes()) % shards, doc.as_py(), key.as_py(), s, own))
+                        own = xxhash.xxh3_64_intdigest(h[s : s + window].tobytes())
+                        rows.append((None, doc.as_py(), key.as_py(), s, np.array([own], np.uint64).view(np.int64)))
             columns = list(zip(*rows, strict=True)) or [()] * 5
             arrays = [pa.array(list(c), pa.int64()) for c in columns[:4]]
-            arrays.append(pa.array([w.view(np.int64) for w in columns[4]], pa.list_(pa.int64())))
+            arrays.append(pa.array(columns[4], pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(arrays, ["shard", "ord", "key", "start", "words"])
 
     sent = base.select("ord", "key", "text").join(asked, ["ord", "key"]).mapInArrow(words_of, "shard long, ord long, key long, start long, words array<long>")
-    matched = sent.groupBy("shard").applyInArrow(lambda t: _match_shard(t, window), "ord long, key long, start long, count long")
+    sent = save(sent, "sent")
+    discard(rest)
+    matched = sent.where("shard is not null").groupBy("shard").applyInArrow(lambda t: _match_shard(t, window), "ord long, key long, start long, count long")
     matched = save(matched, "matched")
-    spark._jvm.System.gc()
-
-    spans = judged.where("later").select("ord", "key", F.col("start").cast("long"), F.col("count").cast("long")).unionByName(matched)
-    removed = spans.groupBy("ord", "key").agg(F.collect_set(F.struct("start", "count")).alias("removed"))
+    single = sent.where("shard is null").select("ord", "key", "start", F.get("words", 0).alias("word"))
+    earliest = save(single.groupBy("word").agg(F.min(F.struct("ord", "start")).alias("at")), "earliest")
+    repeats = single.join(earliest, "word").where(F.struct("ord", "start") > F.col("at")).select("ord", "key", "start", F.lit(1).cast("long").alias("count"))
+
+    spans = judged.where("later").join(names, "row").select("ord", "key", F.col("start").cast("long"), F.col("count").cast("long"))
+    spans = spans.unionByName(matched).unionByName(repeats)
+    removed = save(spans.groupBy("ord", "key").agg(F.collect_set(F.struct("start", "count")).alias("removed")), "removed")
+    discard(judged, names, sent, matched, earliest)
     kept = F.arrow_udf(lambda t, r: _kept(t, r, window), "text string, n_words long, n_removed long")
     out = base.join(removed, ["ord", "key"], "left").select("doc_id", kept("text", "removed").alias("k"))
     return out.select("doc_id", "k.text", "k.n_words", "k.n_removed")
