@@ -22,9 +22,8 @@ SEED = 20_231
 ROUNDS = 6
 #: Rows of a bucket, within which one task numbers the rows.
 BUCKET = 4096
-#: Steps of a walk.  Fewer than ``a`` cells of a grid are outside, so up to 4,000 rows no walk is longer; above,
-#: a longer one has a chance of about n * n**(-STEPS / 2), and would raise an error rather than lose a row.
-STEPS = 64
+#: Buckets of a group, within which one task adds up what lies before each.
+GROUP = 4096
 
 
 def grid(n: int) -> tuple[int, int]:
@@ -49,13 +48,13 @@ def _network(x: Column, a: int, b: int, seed: int) -> Column:
 def permuted(rows: DataFrame, number: str, n: int, seed: int = SEED) -> DataFrame:
     """Add ``place``, the permutation's value for row number ``number``."""
     a, b = grid(n)
-    once = rows.withColumn("place", _network(F.col(number), a, b, seed))
-    walk = F.aggregate(
-        F.sequence(F.lit(1), F.lit(STEPS)), F.col("place"), lambda p, _: F.when(p < n, p).otherwise(_network(p, a, b, seed))
-    )
-    walked = once.withColumn("place", F.when(F.col("place") < n, F.col("place")).otherwise(walk))
-    lost = F.raise_error(F.lit(f"a walk is longer than {STEPS} steps; take another seed"))
-    return walked.withColumn("place", F.when(F.col("place") < n, F.col("place")).otherwise(lost.cast("long")))
+    placed = rows.withColumn("place", _network(F.col(number), a, b, seed))
+    # A walk visits the cells outside once each, so it is over after as many steps; few rows take any.
+    outside = a * b - n
+    if not outside:
+        return placed
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(outside)), F.col("place"), lambda p, _: F.when(p < n, p).otherwise(_network(p, a, b, seed)))
+    return placed.withColumn("place", F.when(F.col("place") < n, F.col("place")).otherwise(walk))
 
 
 def number_rows(rows: DataFrame, order: list[str], bucket: int = BUCKET) -> tuple[DataFrame, int]:
@@ -68,8 +67,11 @@ def number_rows(rows: DataFrame, order: list[str], bucket: int = BUCKET) -> tupl
     """
     n = rows.count()
     dealt = rows.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(max(1, -(-n // bucket)))))
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy("bucket").agg(F.count("*").alias("n")).select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    # What lies before a bucket is added up within its group of buckets, and over the groups.
+    sizes = dealt.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("of", _div(F.col("bucket"), GROUP))
+    inner, outer = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (Window.partitionBy("of").orderBy("bucket"), Window.orderBy("of")))
+    groups = sizes.groupBy("of").agg(F.sum("n").alias("n")).select("of", F.coalesce(F.sum("n").over(outer), F.lit(0)).alias("base"))
+    starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(groups, "of").select("bucket", (F.col("base") + F.col("start")).alias("start"))
     inside = Window.partitionBy("bucket").orderBy(*[F.col(c).asc_nulls_last() for c in order])
     numbered = dealt.join(starts, "bucket").withColumn("row_number", F.col("start") + F.row_number().over(inside) - 1)
     return numbered.drop("bucket", "start"), n
@@ -82,7 +84,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     checksum of no bytes.  The law is by rows: shard counts are at most one
     apart, whatever texts are equal, so a group of copies is spread and not kept
     together.  Equal rows may swap places with each other only; a null doc_id
-    is numbered like any other.  No rows give no rows.
+    is numbered like any other.  A text's length plays no part but in its size.
+    Other columns, whatever their names, are left out.  No rows give no rows.
     """
     data = F.coalesce(F.col("text").cast("string"), F.lit(""))
     sized = docs.select(
