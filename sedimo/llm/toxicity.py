@@ -16,11 +16,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedimo.llm.shared import save
+from sedimo.llm.shared import discard, save
 
 BITS = 20
 #: Labelled rows that the model is fitted on, at most; which ones is decided by a hash of the id.
 TRAINING_ROWS = 16_000
+#: Features of all those rows together, at most; rows from where it is passed are left out of the fitting, the scores are of all.
+TRAINING_FEATURES = 1 << 26
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.0
 #: What an error on label 1 weighs, as that label is the rarer one.
@@ -83,23 +85,32 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> dict
     """Fit on at most ``rows`` labelled documents outside the held-out fold.
 
     The labels chosen are those with the least hash of their id; at most
-    ``rows`` of them are broadcast to the scan of ``docs``, and one task fits
-    the texts found.  Rows without a label or an id are not used; of several
-    labels of one id the larger counts; of several documents, each row.  The
-    model that comes back has at most ``2**BITS + 1`` weights.
+    ``rows`` of them are broadcast to the scan of ``docs``.  Features are made
+    where the texts are, and one task fits what comes out, ``TRAINING_FEATURES``
+    at most, in an order that only ids and features decide, so reruns agree.
+    Rows without a label or an id are not used; of several labels of one id the
+    larger counts; of several documents, each row.  The model that comes back
+    has at most ``2**BITS + 1`` weights.
     """
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("label"))
     chosen = save(known.withColumn("turn", F.xxhash64("doc_id")).orderBy("turn", "doc_id").limit(rows), "labels")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
+    places = F.arrow_udf(lambda texts: pa.array([features(t.as_py()) for t in texts], pa.list_(pa.int32())), "array<int>")("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [(features(t.as_py()), y) for b in batches for t, y in zip(b.column(0), b.column(1).to_pylist(), strict=True)]
-        w = fit(found[: 2 * rows])
+        found, held = [], 0
+        for b in batches:
+            for x, y in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                held += len(x)
+                if held <= TRAINING_FEATURES:
+                    found.append((x.values.to_numpy(), y))
+        w = fit(found)
         yield pa.RecordBatch.from_arrays([pa.array(list(w), pa.int32()), pa.array(list(w.values()), pa.float64())], ["place", "weight"])
 
-    ordered = texts.select("text", "label", "turn").orderBy("turn").limit(2 * rows).select("text", "label")
+    ordered = texts.select("label", "turn", "doc_id", places.alias("places")).orderBy("turn", "doc_id", "places").limit(2 * rows).select("places", "label")
     fitted = ordered.coalesce(1).mapInArrow(run, "place int, weight double").collect()
+    discard(chosen)
     return {r.place: r.weight for r in fitted} or dict(UNTAUGHT)
 
 
@@ -120,7 +131,8 @@ def score(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Data
     """``docs`` with ``score`` (0 to 1), ``predicted`` (1 from 0.5) and ``held_out``.
 
     Null and empty texts get the score of the constant alone; repeated rows get
-    equal scores.  Columns of ``docs`` with these names are replaced.
+    equal scores; a text counts whole, whatever its length.  Columns of ``docs``
+    with these names are replaced.  No rows give no rows.
     """
     by_text = scorer(docs, train(docs, labels, rows))
     out = docs.withColumn("score", by_text(F.col("text").cast("string")))
@@ -128,6 +140,10 @@ def score(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Data
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
-    """The rows of ``docs`` that the model does not predict to be toxic."""
+    """The rows of ``docs`` that the model does not predict to be toxic, with all their columns.
+
+    Null and empty texts have the score of the constant alone; repeated rows go
+    or stay together; no rows give no rows.
+    """
     by_text = scorer(docs, train(docs, labels, rows))
     return docs.where(by_text(F.col("text").cast("string")) < 0.5)
