@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimo.llm.components import connected_components
-from sedimo.llm.shared import save
+from sedimo.llm.shared import discard, save
 
 COSINE = 0.93
 TABLES = 8
@@ -80,7 +80,9 @@ def cells(unit: np.ndarray, tables: int = TABLES, probes: int = PROBES, scale: f
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
-    return vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+    """Vectors of length one.  A power of two brings the largest component near one first, so that no square overflows or vanishes."""
+    scaled = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+    return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
 
 
 def _cells_of(embeddings: pa.Array) -> pa.Array:
@@ -176,15 +178,19 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK)
     components, or whose label is null link with nothing: they have no links and
     are their own component.  Equal vectors link with each other and share all
     links.  A null id counts as a link of others and never names a component
-    unless all its ids are null.  No rows give no rows.
+    unless all its ids are null.  Components of any size count: none overflows.
+    Other columns, whatever their names, are left out.  No rows give no rows.
     """
     e = F.col("embedding").cast("array<double>")
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), e.alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    length = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
-    sound = F.col("label").isNotNull() & F.coalesce(F.when(finite, length) > 0, F.lit(False))
+    sound = F.col("label").isNotNull() & F.coalesce(F.when(finite, F.exists("embedding", lambda x: x != 0)), F.lit(False))
+    # Equal vectors of a label share 128 bits of hash, which stand for them in the last join.
+    name = [F.xxhash64("label", "embedding").alias("h"), F.xxhash64(F.lit(SEED), "label", "embedding").alias("g")]
     fit = rows.where(sound)
-    nodes = fit.groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
+    nodes = fit.select("*", *name).groupBy("h", "g").agg(
+        F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.min("vec_id").alias("node"), F.count("*").alias("copies")
+    )
     nodes = nodes.withColumn("cells", F.arrow_udf(_cells_of, "array<long>")("embedding")).withColumn("dim", F.size("embedding"))
     nodes = save(nodes.withColumn("nid", F.monotonically_increasing_id()), "vectors")
 
@@ -201,15 +207,16 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK)
     bin_ = F.when(F.col("parts") == 1, F.pmod(F.xxhash64(*where), bins)).otherwise(F.xxhash64(*where, "i", "j").bitwiseOR(F.lit(-(1 << 63))))
     placed = placed.withColumn("bin", bin_).select("bin", "nid", "label", "dim", "t", "home", "cell", "b", "i", "j")
     full = placed.join(nodes.select("nid", "copies", "embedding", "cells"), "nid")
-    found = save(full.groupBy("bin").applyInArrow(lambda t: _groups(t, cosine), LINKS), "links")
+    found = save(full.groupBy("bin").applyInArrow(lambda t: _groups(t, cosine), LINKS), "found")
 
     counts = found.groupBy("nid").agg(F.sum("n").alias("n"))
     roots = connected_components(found.where("nid <> root").select("nid", "root"), "nid", "root")
     named = nodes.join(counts, "nid", "left").join(roots.withColumnRenamed("node", "nid"), "nid", "left")
-    named = named.select("label", "embedding", "node", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "nid").alias("root"))
+    named = named.select("h", "g", "node", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "nid").alias("root"))
     named = save(named, "named")
+    discard(nodes, found)
     heads = named.groupBy("root").agg(F.min("node").alias("component_id"))
-    named = named.join(heads, "root").select(F.col("label").alias("l"), F.col("embedding").alias("e"), "n_links", "component_id")
-    linked = fit.join(named, (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e"))).select("vec_id", "n_links", "component_id")
+    named = named.join(heads, "root").select("h", "g", "n_links", "component_id")
+    linked = fit.select("vec_id", *name).join(named, ["h", "g"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(~sound).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
