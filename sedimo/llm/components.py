@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from sedimo.llm.shared import discard, save
 
-MAX_ROUNDS = 100
-
 
 def _with_least(links: DataFrame, least: DataFrame) -> DataFrame:
     return links.join(least, "a")
@@ -42,7 +40,8 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     """Return ``(node, root)`` for every node of ``links`` that is not a root.
 
     ``root`` is the least node of the component.  Alternating large-star and
-    small-star rounds shrink all links to stars; each round is a few shuffles of
+    small-star rounds shrink all links to stars, in a number of rounds that grows
+    with the logarithm of the nodes; each round is a few shuffles of
     the links, is written to the shared folder, and splits hub nodes through
     Spark's skew join.  Null ends and self-links are ignored.
     """
@@ -50,10 +49,8 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
         f"{a} is not null and {b} is not null and {a} <> {b}"
     )
     e = save(e.distinct(), "links")
-    for _ in range(MAX_ROUNDS):
-        if _is_forest_of_stars(e):
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    while not _is_forest_of_stars(e):
         nxt = save(_small_star(_large_star(e)), "links")
         discard(e)
         e = nxt
-    raise RuntimeError(f"components did not settle within {MAX_ROUNDS} rounds")
+    return e.select(F.col("a").alias("node"), F.col("b").alias("root"))

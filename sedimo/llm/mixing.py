@@ -124,22 +124,27 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPE
 
 
 def mixed_texts(docs: DataFrame, columns: list[str], weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, seed: str = SEED) -> DataFrame:
-    """The rows of the mix itself, with ``columns``: a document taken in full
-    stands there once for each round, and a part is its first words, joined by
-    one space.  Documents of which nothing is taken are gone.
+    """The rows of the mix itself, with ``columns``, which hold ``doc_id``, ``source`` and ``text``.
+
+    A document taken in full stands there once for each round, with its text as
+    it is, and a part is its first words, joined by one space; ``n_chars``, where
+    asked for, follows the text.  Documents of which nothing is taken are gone,
+    as are null and blank texts, which have no words.  Repeated rows share out
+    what :func:`mix` takes of them.  Other columns come along unchanged,
+    whatever their names; no rows give no rows.
     """
     taken = mix(docs, weights, repeats, seed).where("taken > 0")
     # A repeated doc_id shares its takings out by size and source, which decide a row's place.
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    key = ["doc_id", "source", "size"]
-    left = docs.select(*columns).withColumn("size", size)
-    nth = Window.partitionBy(*key).orderBy("text")
-    left = left.withColumn("nth", F.row_number().over(nth))
-    right = taken.select(*[F.col(c).alias(f"_{c}") for c in key], "taken", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("taken"))).alias("_nth"))
-    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key] + [F.col("nth") == F.col("_nth")]
-    met = left.join(right, on)
-    full, part = _div("taken", F.col("size")), F.pmod(F.col("taken"), F.col("size"))
-    words = F.array_join(F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, part.cast("int")), " ")
-    pieces = F.concat(F.array_repeat(F.col("text"), full.cast("int")), F.when(part > 0, F.array(words)).otherwise(F.array().cast("array<string>")))
-    out = met.withColumn("piece", F.explode(pieces)).withColumn("text", F.col("piece"))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*columns)
+    row = F.struct(*[c for c in columns if c != "text"])
+    left = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("from"), size.alias("words"), F.col("text").cast("string").alias("t"), row.alias("row"))
+    left = left.withColumn("nth", F.row_number().over(Window.partitionBy("id", "from", "words").orderBy("t")))
+    right = taken.select(F.col("doc_id").alias("i"), F.col("source").alias("f"), F.col("size").alias("w"), "taken")
+    right = right.withColumn("n", F.row_number().over(Window.partitionBy("i", "f", "w").orderBy(F.desc("taken"))))
+    met = left.join(right, F.col("id").eqNullSafe(F.col("i")) & F.col("from").eqNullSafe(F.col("f")) & (F.col("words") == F.col("w")) & (F.col("nth") == F.col("n")))
+    full, part = _div("taken", F.col("words")), F.pmod(F.col("taken"), F.col("words"))
+    first = F.array_join(F.slice(F.filter(F.split("t", r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, part.cast("int")), " ")
+    pieces = F.concat(F.array_repeat(F.col("t"), full.cast("int")), F.when(part > 0, F.array(first)).otherwise(F.array().cast("array<string>")))
+    out = met.select("row", F.explode(pieces).alias("piece"))
+    new = {"text": F.col("piece"), "n_chars": F.length("piece").cast("long")}
+    return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in columns])

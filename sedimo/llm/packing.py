@@ -150,8 +150,9 @@ def pack(docs: DataFrame, vocabulary: str, ranks: str, pattern: str, window: int
     The pieces are dealt evenly, whatever their keys, into blocks of about
     ``block`` rows, and each block is packed in one task.  A sequence's number
     holds the block above ``LOCAL_BITS`` bits, so numbers are unique but not
-    gapless.  A null or empty text is its end id alone; repeated rows are packed
-    each; no rows give no sequences.
+    gapless.  A null or empty text is its end id alone; a long one is cut into
+    full windows, from its whole ids; repeated rows are packed each.  Other
+    columns, whatever their names, are left out.  No rows give no sequences.
     """
     pieces = save(tokenize(docs, vocabulary, ranks, pattern, window, end_id), "pieces")
     blocks = max(1, math.ceil(pieces.count() / block))
