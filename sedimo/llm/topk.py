@@ -2,14 +2,16 @@
 
 Every vector keeps its distances to a set of pivots.  By the triangle inequality
 a query and a candidate are at least ``max |d(q, p) - d(x, p)|`` apart, which
-bounds their inner product from above.  A block's candidates are scored in the
-order of that bound until it falls below the k-th best score: nothing further
-on can enter the result, ties included.
-
-Queries and candidates are cut into blocks, and each pair of blocks is one
-bounded group.  A first pass scores every query against one block; the k-th
-best score there is a floor for the query, so that the second pass passes over
-most candidates and returns few rows for each pair of blocks.
+bounds their inner product from above.  Candidates are scored in the order of
+that bound until it falls below the k-th best score: nothing further on can
+enter the result, ties included.
+
+Rows are cut into blocks by their nearest pivot, so a block's distances lie
+close together.  A first pass scores every query against its own block; the
+k-th best score there is a floor for the query.  The ranges of distances in a
+block of queries and a block of candidates bound all their products at once, so
+the second pass leaves out pairs of blocks that lie below the floors, and each
+pair that is left is one bounded group.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedimo.llm.shared import save
+from sedimo.llm.shared import discard, save
 
 #: Pivots, chosen far apart among at most SAMPLE rows with the least hash.
 PIVOTS = 32
@@ -27,13 +29,16 @@ SAMPLE = 1024
 CANDIDATES = 4096
 QUERIES = 2048
 CHUNK = 256
-TILE = 64
-#: Share of the squared lengths that a bound is raised by.
-SLACK = np.float32(1e-5)
-#: Below every score that a long can hold.
-LEAST = -float(1 << 63)
+TILE = 16
+#: Parts into which the pairs of blocks are dealt.
+SLOTS = 64
+#: Share of the distances that a gap is lowered by, and of the squared lengths that a bound is raised by.  Sums of
+#: a million squares are off by less.
+SLACK = 1e-9
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 FOUND = "query_id long, query_key long, vec_id long, score long"
+BLOCK, ASKED = ["dim", "cell", "part"], ["dim", "q_cell", "q_part"]
 
 
 def quantised(x: Column, scale: int = 64) -> Column:
@@ -61,58 +66,77 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
 def bounds(dq: np.ndarray, dx: np.ndarray, qq: np.ndarray, xx: np.ndarray) -> np.ndarray:
     """An upper bound of every inner product: ``(queries, candidates)``.
 
-    ``dx`` has a row for each pivot.  The distances are rounded to 32 bits; the
-    slack is well above what that can change.
+    ``dx`` has a row for each pivot.  Each gap is lowered by what rounding can
+    have added to it, which grows with the distances themselves, so a bound
+    holds however far away a pivot is.
     """
-    gap = np.zeros((len(dq), dx.shape[1]), np.float32)
-    off = np.empty_like(gap)
+    gap = np.zeros((len(dq), dx.shape[1]))
+    off, allowed = np.empty_like(gap), np.empty_like(gap)
     for p in range(len(dx)):
         np.subtract(dx[p][None, :], dq[:, p][:, None], out=off)
         np.abs(off, out=off)
+        np.add(dx[p][None, :], dq[:, p][:, None], out=allowed)
+        allowed *= SLACK
+        off -= allowed
         np.maximum(gap, off, out=gap)
-    np.multiply(gap, gap, out=gap)
+    gap *= gap
     sums = qq[:, None] + xx[None, :]
     return (sums - gap) / 2 + SLACK * (1 + sums)
 
 
-def best_in_block(q: np.ndarray, bound: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and scores of the block's k best for one query, ties to the smaller id.
+def scores_of(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products, exact; beyond the range of a long the nearest long."""
+    found = x @ q
+    return found if found.dtype != object else np.array([min(max(s, LEAST), MOST) for s in found], np.int64)
 
-    Only scores from ``floor`` up count.  The candidates of the highest bounds
-    come first; then those whose bound still reaches the k-th best score.
+
+def exact(v: np.ndarray) -> np.ndarray:
+    """Whole numbers as the fastest type whose inner products are exact."""
+    most = v.shape[1] * max(abs(int(v.max(initial=0))), abs(int(v.min(initial=0)))) ** 2
+    return v.astype(np.float64) if most < 1 << 52 else v if most < 1 << 62 else v.astype(object)
+
+
+def best_in_block(q: np.ndarray, bound: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """Positions and scores of the block's k best for one query, ties to the smaller id, and how many were scored.
+
+    Only scores from ``floor`` up count.  Candidates are scored in chunks of
+    falling bound, each chunk twice the one before, until no bound reaches the
+    k-th best score.
     """
-    open_ = np.flatnonzero(bound >= floor)
-    first = open_ if len(open_) <= CHUNK else open_[np.argpartition(-bound[open_], CHUNK)[:CHUNK]]
-    best, scores = first, x[first] @ q
-    if len(first) < len(open_):
-        reach = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else floor
-        rest = bound >= max(reach, floor)
-        rest[first] = False
-        more = np.flatnonzero(rest)
-        # Above a quarter of the block, one product with all of it costs less than picking rows.
-        best, scores = np.append(best, more), np.append(scores, (x @ q)[more] if 4 * len(more) > len(x) else x[more] @ q)
-    if len(scores) > k:
-        floor = max(floor, np.partition(scores, len(scores) - k)[len(scores) - k])
-    good = scores >= floor
-    best, scores = best[good], scores[good]
-    top = np.lexsort((ids[best], -scores))[:k]
-    return best[top], scores[top]
-
-
-def _search(table: pa.Table, k: int, with_floor: bool) -> pa.Table:
+    left = np.flatnonzero(bound >= floor)
+    best, scores, size, scored = left[:0], scores_of(x[:0], q), CHUNK, 0
+    while len(left):
+        if len(left) > size:
+            order = np.argpartition(-bound[left], size)
+            chunk, left = left[order[:size]], left[order[size:]]
+        else:
+            chunk, left = left, left[:0]
+        found = scores_of(x[chunk], q)
+        scored += len(chunk)
+        good = found >= floor
+        best, scores = np.append(best, chunk[good]), np.append(scores, found[good])
+        top = np.lexsort((ids[best], -scores))[:k]
+        best, scores = best[top], scores[top]
+        if len(best) == k:
+            floor = scores[-1]
+            left = left[bound[left] >= floor]
+        size *= 2
+    return best, scores, scored
+
+
+def _search(table: pa.Table, k: int) -> pa.Table:
     """The k best of one group: queries and candidates of one dimension."""
     dim = table["dim"][0].as_py()
     asks = table["is_query"].combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
     ids = table["vec_id"].combine_chunks().to_numpy()
     keys = table["key"].combine_chunks().to_numpy()
     v = _matrix(table["v"], dim)
-    d = _matrix(table["d"], len(table["d"][0])).astype(np.float32)
-    floors = [-np.inf if f is None or not with_floor else f for f in table["floor"].to_pylist()]
+    d = _matrix(table["d"], len(table["d"][0]))
+    floors = [-np.inf if f is None else f for f in table["floor"].to_pylist()]
     norms = (v.astype(np.float64) ** 2).sum(axis=1)
-    if dim * float(np.abs(v).max(initial=0)) ** 2 < 2**52:
-        v = v.astype(np.float64)  # still exact, and much faster
+    v = exact(v)
     x, xid = v[~asks], ids[~asks]
-    dx, xx = np.ascontiguousarray(d[~asks].T), norms[~asks].astype(np.float32)
+    dx, xx = np.ascontiguousarray(d[~asks].T), norms[~asks]
     place: dict[tuple[int, int], int] = {}
     for at, name in enumerate(zip(xid.tolist(), keys[~asks].tolist(), strict=True)):
         place.setdefault(name, at)
@@ -120,26 +144,48 @@ def _search(table: pa.Table, k: int, with_floor: bool) -> pa.Table:
     queries = np.flatnonzero(asks)
     for t in range(0, len(queries), TILE):
         tile = queries[t : t + TILE]
-        for i, bound in zip(tile.tolist(), bounds(d[tile], dx, norms[tile].astype(np.float32), xx), strict=True):
-            bound[np.isnan(bound)] = np.inf  # lengths beyond 32 bits bound nothing
+        for i, bound in zip(tile.tolist(), bounds(d[tile], dx, norms[tile], xx), strict=True):
             name = int(ids[i]), int(keys[i])
             if name in place:
                 bound[place[name]] = -np.inf  # the query's own row
-            best, scores = best_in_block(v[i], bound, x, xid, k, max(floors[i], LEAST))
+            best, scores, _ = best_in_block(v[i], bound, x, xid, k, max(floors[i], LEAST))
             rows += zip([name[0]] * len(best), [name[1]] * len(best), xid[best].tolist(), map(int, scores), strict=True)
     columns = list(zip(*rows, strict=True)) or [()] * 4
     return pa.table([pa.array(list(c), pa.int64()) for c in columns], names=["query_id", "query_key", "vec_id", "score"])
 
 
+def _parts(rows: DataFrame, per_block: int, seed: int) -> Column:
+    """A block's part of its cell, of about ``per_block`` rows, decided by a hash of the row."""
+    return F.pmod(F.xxhash64("vec_id", "key", F.lit(seed)), F.greatest(F.lit(1), F.ceil(F.col("n") / per_block)).cast("long"))
+
+
+def _ranges(rows: DataFrame, by: list[str], prefix: str) -> DataFrame:
+    """For each block the least and greatest distance to each pivot and the greatest squared length."""
+    one = [f(F.get("d", p)).alias(f"{prefix}_{f.__name__}{p}") for p in range(PIVOTS) for f in (F.min, F.max)]
+    return rows.groupBy(*by).agg(F.max("length").alias(f"{prefix}_length"), F.min(F.coalesce(F.col("floor").cast("double"), F.lit(float("-inf")))).alias(f"{prefix}_floor"), *one)
+
+
+def _pairs(asks: DataFrame, pool: DataFrame) -> DataFrame:
+    """The pairs of blocks in which some query may find a score from its floor up."""
+    q = _ranges(asks, ASKED, "q").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))))
+    x = _ranges(pool, BLOCK, "x").withColumn("slot", F.pmod(F.xxhash64(*BLOCK), F.lit(SLOTS)).cast("int"))
+    apart = [F.greatest(F.col(f"q_min{p}") - F.col(f"x_max{p}"), F.col(f"x_min{p}") - F.col(f"q_max{p}")) - SLACK * (F.col(f"q_max{p}") + F.col(f"x_max{p}")) for p in range(PIVOTS)]
+    gap = F.greatest(F.lit(0.0), *apart)  # a pivot that a dimension lacks is null, and left out
+    lengths = F.col("q_length") + F.col("x_length")
+    reach = (lengths - gap * gap) / 2 + SLACK * (1 + lengths)
+    return q.join(x, ["dim", "slot"]).where(reach >= F.col("q_floor")).select(*ASKED, "cell", "part")
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, candidates: int = CANDIDATES, queries: int = QUERIES) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k best rows for every row that ``is_query`` marks.
 
-    ``vectors`` has ``vec_id`` and ``embedding``.  A row is not its own
-    candidate; equal copies of it with other rows are.  Only vectors of one
-    length are compared.  Rows with a null id, and null vectors or ones with
-    null or non-finite components, take no part.  A query row that is repeated
-    is answered once; with fewer than k other rows, all are returned; without
-    rows the result is empty.
+    ``vectors`` has ``vec_id`` and ``embedding``; its other columns play no part,
+    but ``is_query`` may use them.  A row is not its own candidate; equal copies
+    of it with other rows are.  Only vectors of one length are compared.  Rows
+    with a null id, and null vectors or ones with null or non-finite components,
+    take no part.  A component or score beyond the range of a long counts as the
+    nearest long.  A query row that is repeated is answered once; with fewer
+    than k other rows, all are returned; without rows the result is empty.
     """
     rows = vectors.select(F.col("vec_id").cast("long"), quantised(F.col("embedding"), scale).alias("v"), is_query.alias("is_query"))
     rows = rows.where("vec_id is not null and v is not null").withColumn("dim", F.size("v")).withColumn("key", F.xxhash64("v"))
@@ -154,21 +200,27 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, ca
             out.append([0.0] if p is None else np.sqrt(((p - a) ** 2).sum(axis=1)))
         return pa.array(out, pa.list_(pa.float64()))
 
-    rows = save(rows.withColumn("d", F.arrow_udf(distances, "array<double>")("v")), "pivot-table")
-    count, asking = rows.agg(F.count("*"), F.count_if("is_query")).first()
-    n_c, n_q = max(1, -(-count // candidates)), max(1, -(-asking // queries))
-    rows = rows.withColumn("c", F.pmod(F.xxhash64("vec_id", "key", F.lit(1)), F.lit(n_c)))
-    asks = rows.where("is_query").dropDuplicates(["vec_id", "key"]).withColumn("q", F.pmod(F.xxhash64("vec_id", "key", F.lit(2)), F.lit(n_q)))
-    empty = F.lit(None).cast("long")
-    pool = rows.withColumn("is_query", F.lit(False)).withColumn("floor", empty)
-
-    first = pool.unionByName(asks.drop("q").withColumn("floor", empty)).groupBy("c", "dim")
-    seeds = first.applyInArrow(lambda t: _search(t, k, False), FOUND).groupBy("query_id", "query_key")
-    floors = seeds.agg(F.min("score").alias("floor"), F.count("*").alias("n")).where(F.col("n") >= k)
-    floors = save(floors.select(F.col("query_id").alias("vec_id"), F.col("query_key").alias("key"), "floor"), "floors")
-
-    asks = asks.drop("c").join(floors, ["vec_id", "key"], "left").withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_c - 1).cast("long"))))
-    pool = pool.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))))
-    found = pool.unionByName(asks).groupBy("q", "c", "dim").applyInArrow(lambda t: _search(t, k, True), FOUND)
+    rows = rows.withColumn("d", F.arrow_udf(distances, "array<double>")("v"))
+    square = F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))
+    rows = save(rows.withColumn("cell", F.array_position("d", F.array_min("d")).cast("int")).withColumn("length", square), "pivot-table")
+    held = rows.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.count_if("is_query").alias("n_asks"))
+    rows = rows.join(held, ["dim", "cell"]).withColumn("part", _parts(rows, candidates, 1))
+    asks = rows.where("is_query").dropDuplicates(["vec_id", "key"])
+    floor = F.lit(None).cast("long")
+    pool = rows.withColumn("is_query", F.lit(False)).withColumn("floor", floor)
+    group = ["vec_id", "key", "v", "d", "is_query", "floor", *BLOCK]
+
+    own = pool.select(group).unionByName(asks.withColumn("floor", floor).select(group))
+    seeds = own.groupBy(*BLOCK).applyInArrow(lambda t: _search(t, k), FOUND).groupBy("query_id", "query_key")
+    floors = seeds.agg(F.min("score").alias("floor"), F.count("*").alias("found")).where(F.col("found") >= k)
+    floors = floors.select(F.col("query_id").alias("vec_id"), F.col("query_key").alias("key"), "floor")
+    asks = asks.join(floors, ["vec_id", "key"], "left").drop("n", "part").withColumnRenamed("n_asks", "n").withColumnRenamed("cell", "q_cell")
+    asks = save(asks.withColumn("q_part", _parts(asks, queries, 2)), "asks")
+
+    pairs = save(_pairs(asks, pool), "block-pairs")
+    both = [*group, "q_cell", "q_part"]
+    met = pool.join(pairs, BLOCK).select(both).unionByName(asks.join(pairs, ASKED).select(both))
+    found = save(met.groupBy(*ASKED, "cell", "part").applyInArrow(lambda t: _search(t, k), FOUND), "found")
+    discard(rows, asks, pairs)
     rank = F.row_number().over(Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
