@@ -89,7 +89,14 @@ def merge_runs(runs: Sequence[DataFrame], drop_tombstones: bool, order: str = "s
     else an older run may hold a value that a tombstone hides.  A single run has
     unique keys and needs no aggregate.
     """
-    state = runs[0] if len(runs) == 1 else lww(union_runs(runs), order)
+    if len(runs) == 1:
+        return runs[0].where(~F.col("deleted")) if drop_tombstones else runs[0]
+    return merged(union_runs(runs), drop_tombstones, order)
+
+
+def merged(versions: DataFrame, drop_tombstones: bool, order: str = "seq") -> DataFrame:
+    """The newest version of each key; where ``versions`` are dealt by ranges of keys already, nothing is shuffled."""
+    state = lww(versions, order)
     return state.where(~F.col("deleted")) if drop_tombstones else state
 
 

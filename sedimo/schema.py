@@ -58,8 +58,9 @@ BLOOM_HEADER_BYTES = 12
 class Options:
     """Knobs of a store.
 
-    ``sync_wal`` and ``sync_files`` are accepted for compatibility; durability is
-    the storage layer's, and a commit is a batch.
+    ``sync_wal`` and ``sync_files`` bring each record of a log, and each manifest,
+    to the disk itself, where the file system can; the files of runs are Spark's
+    to write.
     """
 
     memtable_bytes: int = 1 << 20

@@ -79,8 +79,8 @@ class Files:
         finally:
             stream.close()
 
-    def create(self, name: str, data: bytes) -> bool:
-        """Write a new file; False where one of that name is there.
+    def create(self, name: str, data: bytes, sync: bool = False) -> bool:
+        """Write a new file, to the disk itself with ``sync``; False where one of that name is there.
 
         The data is written beside and renamed, so a file is whole or absent.
         Where a file system has no atomic rename that refuses to overwrite, as
@@ -92,6 +92,8 @@ class Files:
         stream = self.fs.create(draft, False)
         try:
             stream.write(bytearray(data))
+            if sync:
+                stream.hsync()
         finally:
             stream.close()
         if not self.fs.exists(path) and self.fs.rename(draft, path):

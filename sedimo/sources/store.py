@@ -139,7 +139,7 @@ class Store:
             if wanted is None:
                 return False
             wanted = replace(wanted, version=self.top + 1)
-            if self.files.create(f"{MANIFEST}/{wanted.version:012d}.json", wanted.dump()):
+            if self.files.create(f"{MANIFEST}/{wanted.version:012d}.json", wanted.dump(), self.options.sync_files):
                 self.manifest, self.top = wanted, wanted.version
                 self.files.delete(f"{MANIFEST}/{wanted.version - MANIFESTS_KEPT:012d}.json")
                 return True
@@ -249,7 +249,7 @@ class Store:
             if not aside.isEmpty():
                 aside.write.parquet(self.files.full(f"{LATE}/{uuid.uuid4().hex}"))
             typed = typed.where(F.coalesce(F.col("seq") > floor, F.lit(True)))
-        run = self._write_run(merge.memtable_state(typed))
+        run = self._write_run(self._by_range(merge.memtable_state(typed)))
 
         def change(m: Manifest) -> Manifest | None:
             if done(m) or m.floor > floor:
@@ -273,22 +273,22 @@ class Store:
             return self.spark.createDataFrame([], mutation_log())
         return self.spark.read.schema(mutation_log()).parquet(self.files.full(f"{LATE}/*"))
 
+    def _by_range(self, rows: DataFrame) -> DataFrame:
+        n = self.options.run_partitions
+        return rows.repartitionByRange(n, "key") if n else rows.repartitionByRange("key")
+
     def _write_run(self, state: DataFrame, expected: int | None = None) -> Run | None:
         """Write a state, one version of each key, sorted by key; no rows make no run.
 
-        Range partitions keep each file's keys together, so that a lookup skips
-        files and row groups by their ends, and the rest by Parquet's filters.
+        ``state`` is dealt by ranges of keys, which keep each file's keys
+        together, so that a lookup skips files and row groups by their ends, and
+        the rest by Parquet's filters.
         One reading of the keys that were written gives the run's figures and
         its own filters.
         """
         name = f"{uuid.uuid4().hex}"
         path = f"{RUNS}/{name}"
-        if expected is None:
-            n = self.options.run_partitions
-            state = (state.repartitionByRange(n, "key") if n else state.repartitionByRange("key")).sortWithinPartitions("key")
-        else:
-            state = state.sortWithinPartitions("key")
-        writer = state.select("seq", "key", "deleted", "value").write
+        writer = state.sortWithinPartitions("key").select("seq", "key", "deleted", "value").write
         bits = self.options.bloom_bits_per_key
         if bits:
             writer = writer.option("parquet.bloom.filter.enabled#key", "true")
@@ -401,7 +401,9 @@ class Store:
     def _compact_newest(self, n: int, drop_tombstones: bool = False) -> bool:
         """Merge the n newest runs; False, and nothing changed, where another writer's commit got in the way."""
         inputs = self.manifest.runs[:n]
-        merged = self._write_run(merge.merge_runs([self._read(r) for r in inputs], drop_tombstones))
+        # A run has each key once, so there is little to combine before the exchange; the merge works within the ranges.
+        rows = self._by_range(merge.union_runs([self._read(r) for r in inputs]))
+        merged = self._write_run(merge.merge_runs([rows], drop_tombstones) if n == 1 else merge.merged(rows, drop_tombstones))
 
         def change(m: Manifest) -> Manifest | None:
             at = m.runs.index(inputs[0]) if inputs[0] in m.runs else 0
