@@ -30,6 +30,8 @@ CANDIDATES = 4096
 QUERIES = 2048
 CHUNK = 256
 TILE = 16
+#: Cells whose numbers of rows are sent to all workers; a length of vectors has PIVOTS at most.
+CELLS_SENT = 100_000
 #: Parts into which the pairs of blocks are dealt.
 SLOTS = 64
 #: Share of the distances that a gap is lowered by, and of the squared lengths that a bound is raised by.  Sums of
@@ -154,7 +156,7 @@ def _search(table: pa.Table, k: int) -> pa.Table:
     return pa.table([pa.array(list(c), pa.int64()) for c in columns], names=["query_id", "query_key", "vec_id", "score"])
 
 
-def _parts(rows: DataFrame, per_block: int, seed: int) -> Column:
+def _parts(per_block: int, seed: int) -> Column:
     """A block's part of its cell, of about ``per_block`` rows, decided by a hash of the row."""
     return F.pmod(F.xxhash64("vec_id", "key", F.lit(seed)), F.greatest(F.lit(1), F.ceil(F.col("n") / per_block)).cast("long"))
 
@@ -204,7 +206,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, ca
     square = F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))
     rows = save(rows.withColumn("cell", F.array_position("d", F.array_min("d")).cast("int")).withColumn("length", square), "pivot-table")
     held = rows.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.count_if("is_query").alias("n_asks"))
-    rows = rows.join(held, ["dim", "cell"]).withColumn("part", _parts(rows, candidates, 1))
+    few = held.limit(CELLS_SENT + 1).count() <= CELLS_SENT  # else vectors have very many lengths
+    rows = rows.join(F.broadcast(held) if few else held, ["dim", "cell"]).withColumn("part", _parts(candidates, 1))
     asks = rows.where("is_query").dropDuplicates(["vec_id", "key"])
     floor = F.lit(None).cast("long")
     pool = rows.withColumn("is_query", F.lit(False)).withColumn("floor", floor)
@@ -215,7 +218,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, ca
     floors = seeds.agg(F.min("score").alias("floor"), F.count("*").alias("found")).where(F.col("found") >= k)
     floors = floors.select(F.col("query_id").alias("vec_id"), F.col("query_key").alias("key"), "floor")
     asks = asks.join(floors, ["vec_id", "key"], "left").drop("n", "part").withColumnRenamed("n_asks", "n").withColumnRenamed("cell", "q_cell")
-    asks = save(asks.withColumn("q_part", _parts(asks, queries, 2)), "asks")
+    asks = save(asks.withColumn("q_part", _parts(queries, 2)), "asks")
 
     pairs = save(_pairs(asks, pool), "block-pairs")
     both = [*group, "q_cell", "q_part"]
