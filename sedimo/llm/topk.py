@@ -204,7 +204,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, ca
 
     rows = rows.withColumn("d", F.arrow_udf(distances, "array<double>")("v"))
     square = F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))
-    rows = save(rows.withColumn("cell", F.array_position("d", F.array_min("d")).cast("int")).withColumn("length", square), "pivot-table")
+    # No more cells than blocks of candidates, so that blocks aren't small.
+    near = F.slice("d", 1, max(1, min(PIVOTS, -(-vectors.count() // candidates))))
+    rows = save(rows.withColumn("cell", F.array_position(near, F.array_min(near)).cast("int")).withColumn("length", square), "pivot-table")
     held = rows.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.count_if("is_query").alias("n_asks"))
     few = held.limit(CELLS_SENT + 1).count() <= CELLS_SENT  # else vectors have very many lengths
     rows = rows.join(F.broadcast(held) if few else held, ["dim", "cell"]).withColumn("part", _parts(candidates, 1))
