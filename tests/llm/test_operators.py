@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -131,34 +132,6 @@ def test_simhash_large_and_small_buckets_link_alike(spark):
     assert {i: roots.get(i, i) for i, _ in rows} == {i: least[k] for (i, _), k in zip(rows, label)}
 
 
-@pytest.mark.parametrize("heads, block", [(1, 2), (2, 8)])
-def test_wide_links_of_large_buckets_match_all_pairs(spark, monkeypatch, heads, block):
-    monkeypatch.setattr(simhash, "HEADS", heads)
-    monkeypatch.setattr(simhash, "BLOCK", block)
-    bits, radius, distance = 6, 1, 12
-    rng = random.Random(heads)
-    prints = [(rng.getrandbits(64), rng.getrandbits(64)) for _ in range(30)]
-    for start in range(6):  # chains, whose ends are far from one another, and clusters
-        x = prints[start]
-        for _ in range(25):
-            x = tuple(p ^ sum(1 << b for b in rng.sample(range(64), rng.choice((1, 3, 6, 9)))) for p in (x if start % 2 else prints[start]))
-            prints.append(x)
-    masks = [m % (1 << 64) for m in simhash.covering_masks(radius, bits=bits)]
-    buckets = [{(k, t, p & m) for k, p in enumerate(x) for t, m in enumerate(masks)} for x in prints]
-    assert max(Counter(b for own in buckets for b in own).values()) > 16
-    parent = list(range(len(prints)))
-    for i, x in enumerate(prints):
-        for j in range(i):
-            if buckets[i] & buckets[j] and sum((a ^ b).bit_count() for a, b in zip(x, prints[j])) <= distance:
-                old, new = sorted((parent[i], parent[j]), reverse=True)
-                parent = [new if q == old else q for q in parent]
-    nodes = [(i, [p - (1 << 64) if p >> 63 else p for p in x]) for i, x in enumerate(prints)]
-    links = simhash.alike(spark.createDataFrame(nodes, "node long, prints array<long>"), bits, radius, distance)
-    roots = {r.node: r.root for r in connected_components(links, "a", "b").collect()}
-    assert [roots.get(i, i) for i in range(len(prints))] == parent
-    assert len(set(parent)) > 10
-
-
 def test_drop_near_duplicates_keeps_one_of_each_group(docs):
     kept = simhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
@@ -197,9 +170,11 @@ def test_pipeline_near_dedup_finds_edited_copies_and_spares_others(spark):
     assert not kept & set(range(6000, 6040)) and len(kept & set(range(7000, 7030))) <= 1
 
 
-@pytest.mark.parametrize("small", [2, 16])
-def test_pipeline_near_dedup_matches_all_pairs_about_the_threshold(spark, monkeypatch, small):
+@pytest.mark.parametrize("small, heads, block", [(2, 1, 4), (2, 2, 64), (16, 2, 64)])
+def test_pipeline_near_dedup_matches_all_pairs_about_the_threshold(spark, monkeypatch, small, heads, block):
     monkeypatch.setattr(overlap, "SMALL", small)
+    monkeypatch.setattr(overlap, "HEADS", heads)
+    monkeypatch.setattr(overlap, "BLOCK", block)
     rng = random.Random(21)
     word = lambda: f"w{rng.getrandbits(40)}"
     texts = []
@@ -258,6 +233,65 @@ def test_topk_matches_brute_force(spark):
     assert topk.top_k(spark.createDataFrame([], VECTORS), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def plain_top(rows, k):
+    """The contract by brute force, scores held within the range of a long."""
+    long = lambda s: min(max(s, -(1 << 63)), (1 << 63) - 1)
+    pool = [(i, [long(x) for x in quantise(v)]) for i, v, *_ in rows if i is not None and fit(v)]
+    out = []
+    for i, q in pool:
+        if i % 20 == 0:
+            best = sorted((-long(sum(a * b for a, b in zip(q, v))), j) for j, v in pool if j != i and len(v) == len(q))[:k]
+            out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    return sorted(out)
+
+
+def test_topk_is_exact_beside_outliers(spark):
+    rng = np.random.default_rng(17)
+    rows, n = [], 0
+    for dim, far in ((1, 1e6), (2, 1e3), (3, 1e5), (4, 1e4), (6, 1e7), (8, 1e6), (16, 1e7), (32, 1e5)):
+        for k in range(240):
+            v = rng.normal(size=dim) * (3 if k % 3 else 1)
+            rows.append((n, (v if k not in (40, 77, 161) else v * far).tolist(), k))
+            n += 1
+    clashing = spark.createDataFrame(rows, "vec_id long, embedding array<double>, d int").withColumn("key", F.lit("x")).withColumn("part", F.lit("y")).withColumn("n", F.lit(0))
+    got = topk.top_k(clashing, F.col("vec_id") % 20 == 0, k=20, candidates=50, queries=4).collect()
+    assert sorted(map(tuple, got)) == plain_top(rows, 20)
+
+
+def test_topk_beyond_the_range_of_a_long(spark):
+    rows = [(i, [x, float(i % 7)]) for i, x in enumerate([1e30, -1e30, 1e17, 3e16, -2e17, 5e9, 6e9, 1e8, 3.0, -4.0, 0.0, 2e8] * 4)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=9, candidates=7, queries=2).collect()
+    assert sorted(map(tuple, got)) == plain_top(rows, 9)
+
+
+@pytest.mark.parametrize("far", [1.0, 1e3, 1e5, 1e6, 1e7])
+def test_pivot_bounds_are_never_below_the_product(far):
+    rng = np.random.default_rng(3)
+    for dim in (1, 2, 8, 64):
+        v = np.floor(64 * rng.normal(size=(400, dim)))
+        v[7] *= far
+        p = topk.choose_pivots(list(v))
+        d = np.sqrt(((v[:, None, :] - p[None]) ** 2).sum(axis=2))
+        norms = (v * v).sum(axis=1)
+        assert (topk.bounds(d[:50], np.ascontiguousarray(d.T), norms[:50], norms) >= v[:50] @ v.T).all()
+
+
+def test_topk_scores_in_bound_order_until_an_exact_stop():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 6)) * 30
+    x = np.floor(np.repeat(centres, 100, axis=0) + rng.normal(size=(4000, 6)))
+    ids = rng.permutation(4000)
+    p = topk.choose_pivots(list(x[:500]))
+    dist = lambda a: np.sqrt(((a[:, None, :] - p[None]) ** 2).sum(axis=2))
+    bound = topk.bounds(dist(x[:8]), np.ascontiguousarray(dist(x).T), (x[:8] ** 2).sum(axis=1), (x**2).sum(axis=1))
+    for i in range(8):
+        best, scores, scored = topk.best_in_block(x[i], bound[i].copy(), x, ids, 20, -np.inf)
+        every = x @ x[i]
+        want = np.lexsort((ids, -every))[:20]
+        assert ids[best].tolist() == ids[want].tolist() and scores.tolist() == every[want].tolist()
+        assert scored < 2000
+
+
 def plain_links(rows, cosine):
     sound = [(n, np.array(v, float), lab) for n, (i, v, lab) in enumerate(rows) if lab is not None and v and fit(v) and any(v)]
     linked = defaultdict(set)
@@ -302,6 +336,40 @@ def test_lattice_counts_each_pair_once_whatever_the_blocks(spark):
         assert got == {rows[k][0]: n for k, n in exact.items()}
 
 
+def test_lattice_links_vectors_of_any_size(spark):
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=16)
+    rows = [(i, ((centre + rng.normal(size=16) * 0.05) * 10.0 ** rng.choice([-300, -200, 0, 5, 200, 300])).tolist(), 1) for i in range(40)]
+    rows += [(100, [0.0] * 16, 1), (101, [-0.0] * 16, 1), (102, [5e-324] * 16, 1), (103, [1e308] * 16, 1), (104, [], 1)]
+    clashing = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    for c in ("h", "cells", "nid", "cell", "n", "root", "kept"):
+        clashing = clashing.withColumn(c, F.lit("x"))
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in lattice.near_vectors(clashing).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i] == (39, 0, i == 0) for i in range(40))
+    assert got[100] == (0, 100, True) and got[101] == (0, 101, True) and got[104] == (0, 104, True)
+    assert got[102] == (1, 102, True) and got[103] == (1, 102, False)
+
+
+def test_lattice_recall_about_the_threshold(spark):
+    """Planted pairs within a label, their cosines on both sides of the bound."""
+    rng = np.random.default_rng(12)
+    rows, linked, apart = [], [], []
+    for k in range(400):
+        a, b = rng.normal(size=64), rng.normal(size=64)
+        a /= np.linalg.norm(a)
+        b -= a * (a @ b)
+        b /= np.linalg.norm(b)
+        c = 0.90 + 0.06 * k / 400
+        other = c * a + math.sqrt(1 - c * c) * b
+        rows += [(2 * k, a.tolist(), k % 3), (2 * k + 1, (other * rng.uniform(0.1, 9)).tolist(), k % 3)]
+        if abs(c - 0.93) > 1e-9:
+            (linked if c > 0.93 else apart).append(2 * k)
+    got = {r.vec_id: r.n_links for r in lattice.near_vectors(spark.createDataFrame(rows, VECTORS.replace("float", "double"))).collect()}
+    assert all(got[i] == 0 for i in apart)
+    assert sum(got[i] == 1 for i in linked) >= 0.98 * len(linked)
+
+
 def test_e8_decoder_finds_the_nearest_point():
     rng = np.random.default_rng(0)
     y = rng.normal(size=(200, 8)) * 2
@@ -402,6 +470,15 @@ def test_fast_and_exact_ids_agree_on_tested_characters():
         assert e.fast.encode_ordinary(t) == e.exact.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_fast_and_exact_ids_agree_on_whole_documents():
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+    e = packing.encoder(**queries.vocabulary())
+    fast = [t for t in texts if t and not packing._TESTED.search(t)]
+    assert len(fast) > 0.9 * len(texts)
+    for t in texts:
+        assert e(t or "").tolist() == e.exact.encode(t or "", add_special_tokens=False).ids
+
+
 def test_best_fit_decreasing_takes_the_tightest_window():
     rng = random.Random(1)
     for _ in range(50):
@@ -443,6 +520,48 @@ def test_toxicity_learns_held_out_labels(spark, empty):
     assert toxicity.score(empty, lab).count() == 0
 
 
+def plain_ftrl(rows, epochs, alpha, beta, l1, positive):
+    """FTRL-proximal one coordinate at a time, over dicts."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha)
+
+    for _ in range(epochs):
+        for x, y in rows:
+            w = {i: weight(i) for i in x}
+            g = (1 / (1 + math.exp(-sum(w.values()))) - y) * (positive if y else 1)
+            for i in x:
+                s = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+                z[i] += g - s * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in z if weight(i)}
+
+
+def test_ftrl_matches_a_plain_version():
+    rng = random.Random(14)
+    rows = []
+    for i in range(300):
+        words = [f"w{min(int(rng.expovariate(0.08)), 60)}" for _ in range(25)] + ["vile"] * (i % 4 == 0)
+        rows.append((toxicity.features(" ".join(words)), int(i % 4 == 0)))
+    got = toxicity.fit(rows)
+    want = plain_ftrl([(x.tolist(), y) for x, y in rows], toxicity.EPOCHS, toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.POSITIVE)
+    assert set(got) == set(want) and len(got) > 5
+    assert all(got[i] == pytest.approx(want[i], rel=1e-9, abs=1e-12) for i in want)
+
+
+def test_toxicity_reruns_agree(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i // 3, " ".join(rng.choices(WORDS[:60], k=30) + ["vile"] * (i // 3 % 4 == 0))) for i in range(600)]  # repeated ids, other texts
+    lab = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    models = [toxicity.train(x, lab) for x in (d.repartition(3), d.repartition(5, "text"))]
+    assert models[0] == models[1] and len(models[0]) > 3
+    monkeypatch.setattr(toxicity, "TRAINING_FEATURES", 10)
+    assert toxicity.train(d, lab) == toxicity.fit([]) or len(toxicity.train(d, lab)) <= 10
+    assert toxicity.drop_toxic(d.where("false"), lab).count() == 0
+
+
 def plain_lines(rows, min_docs):
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").encode().lower()
     df = Counter(k for _, t in rows for k in {key(x) for x in (t or "").split("\n")} if k)
@@ -454,13 +573,37 @@ def plain_lines(rows, min_docs):
     return out
 
 
+@pytest.mark.parametrize("sent", [0, lines.BROADCAST_LINES])
 @pytest.mark.parametrize("batches", [1, 6])
-def test_lines_match_brute_force(docs, empty, batches):
-    got = lines.drop_frequent_lines(docs, min_docs=10, batches=batches, fanout=2)
-    assert got.columns == [*docs.columns, "n_lines", "n_dropped"]
+def test_lines_match_brute_force(docs, empty, batches, sent):
+    clashing = docs.withColumn("n_lines", F.lit("x")).withColumn("line", F.lit("y"))
+    got = lines.drop_frequent_lines(clashing, min_docs=10, batches=batches, fanout=2, sent=sent)
+    assert got.columns == [*docs.columns, "line", "n_lines", "n_dropped"]
     assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got.collect()) == Counter(plain_lines([r[:2] for r in documents()], 10))
     assert sum(r.n_dropped for r in got.collect()) == 11
-    assert lines.drop_frequent_lines(empty).count() == 0
+    assert lines.drop_frequent_lines(empty, sent=sent).count() == 0
+
+
+def test_line_runs_settle_lines_and_carry_counts(spark):
+    rng = random.Random(8)
+    batches = [Counter(rng.choices([f"l{i}" for i in range(30)], weights=range(1, 31), k=40)) for _ in range(7)]
+    runs = lines.LineRuns(spark, min_docs=12, fanout=3)
+    standing, settled = Counter(), set()
+    for b in batches:
+        runs.add(spark.createDataFrame([(k.encode(), n) for k, n in b.items()], "line binary, n_docs long"))
+        for k, n in b.items():
+            if k not in settled:
+                standing[k] += n
+        settled |= {k for k, n in standing.items() if n >= 12}
+    assert [len(level) for level in runs.levels] == [1, 2]
+    held = defaultdict(list)
+    for run in runs.runs():
+        rows = [r.line for r in run.collect()]
+        assert len(rows) == len(set(rows))
+        for r in run.collect():
+            held[bytes(r.line).decode()].append(r.n_docs)
+    assert {k: max(v) for k, v in held.items()} == standing
+    assert sorted(bytes(r.line).decode() for r in runs.frequent().collect()) == sorted(settled) and settled
 
 
 def test_mixing_targets_and_takings(spark, docs, empty):
@@ -532,17 +675,85 @@ def test_secrets_base_and_added_spans(docs, empty):
     assert secrets.high_windows("a" * 100_000, 3.0) == []
 
 
-def test_entropy_windows_match_plain_entropy():
+def test_entropy_windows_match_plain_entropy(monkeypatch):
+    monkeypatch.setattr(secrets, "LETTERS_BOUND", 3.4)
     rng = random.Random(7)
-    for _ in range(40):
-        s = "".join(rng.choices("abcXYZ0123456789", k=rng.randrange(20, 60)))
+    for k in range(80):
+        s = "".join(rng.choices("abcdefXYZUVW" if k % 2 else "abcXYZ0123456789", k=rng.randrange(20, 90)))
+        barred = sorted((a, a + rng.randrange(1, 9)) for a in rng.sample(range(len(s)), k % 3))
         marked = set()
         for i in range(len(s) - 19):
             w = s[i : i + 20]
             h = -sum(c / 20 * math.log2(c / 20) for c in Counter(w).values())
-            if h >= 3.3 - 1e-9 and sum(c.isdigit() for c in w) >= 2 and sum(c.isalpha() for c in w) >= 2:
+            digits, upper, lower = (sum(map(f, w)) for f in (str.isdigit, str.isupper, str.islower))
+            good = digits >= 2 and upper + lower >= 2 and h >= 3.3 - 1e-9 if digits else upper >= 2 and lower >= 2 and h >= 3.4 - 1e-9
+            if good and not any(a < i + 20 and b > i for a, b in barred):
                 marked.update(range(i, i + 20))
-        assert {i for a, b in secrets.high_windows(s, 3.3) for i in range(a, b)} == marked
+        assert {i for a, b in secrets.high_windows(s, 3.3, barred) for i in range(a, b)} == marked
+
+
+def plain_base(text):
+    """The base spans by hand-written scans, character by character."""
+    found, low = [], "".join(c.lower() if c.isascii() else c for c in text)
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+
+    def run(i, chars):
+        j = i
+        while j < len(text) and text[j] in chars:
+            j += 1
+        return j
+
+    i = 0
+    while i < len(text):
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if not low.startswith(name, i):
+                continue
+            j = i + len(name)
+            j = run(j + (text[j : j + 1] in ("'", '"') and j < len(text)), " ")
+            if text[j : j + 1] not in (":", "=") or j >= len(text):
+                continue
+            j = run(j + 1, " ")
+            j += text[j : j + 1] in ("'", '"') and j < len(text)
+            end = run(j, value)
+            if end > j:
+                if end - j >= 6:
+                    found.append((i, 0, end))
+                i = end - 1
+                break
+        i += 1
+    for kind, head, chars, least in ((1, "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 20), (2, "", set("0123456789abcdef"), 24)):
+        i = 0
+        while i < len(text):
+            if text.startswith(head, i) and (end := run(i + len(head), chars)) > i + len(head):
+                if end - i >= least:
+                    found.append((i, kind, end))
+                i = end
+            else:
+                i += 1
+    return sorted(found)
+
+
+def test_base_spans_match_a_plain_scan():
+    rng = random.Random(19)
+    parts = ["password", "Passwd", "SECRET", "token", "api_key", "APIkey", '"', "'", ":", "=", " ", "  ", "x", "abc123", "q9/Z+t.=_-", "AKIA", "AKIAAKIA", "ABCDEF0123456789"]
+    parts += ["0123456789abcdef", "deadbeef" * 3, "F", "é", "\n", "\t", "ſecret", "toKen", "İ"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(1, 14))) for _ in range(6000)]
+    texts += ["AKIA" + "A" * 15, "AKIA" + "A" * 16, "x" + "a" * 23, "a" * 24, "token=12345", "token=123456", "token==abcdef", "apiKey'  :  'abcdef", ""]
+    for t in texts:
+        assert secrets.base_spans(t) == plain_base(t), repr(t)
+
+
+def test_planted_keys_are_found_beside_allowed_parts_and_base_spans():
+    key = "q9Zt7Lm2Xc4Vb8Nw1Kp5Rd3Qz8"
+    letters = "qZtLmXcVbNwKpRdQzJhGfYsTaE"
+    for text in (f"https://host/example/{key}", f"sample_{key}", f"{key}/lorem", f"see {letters}!", f"token=abcdef123 and {key}", f"0123456_{key}"):
+        spans = secrets.entropy_spans(text, secrets.base_spans(text))
+        secret = letters if letters in text else key
+        covered = {i for a, _, b in spans for i in range(a, b)}
+        assert covered >= set(range(text.index(secret), text.index(secret) + len(secret))), text
+        assert not any(x in text[a:b] for a, _, b in spans for x in ("example", "sample", "lorem", "0123456"))
+    for text in ("123e4567-e89b-12d3-a456-426614174000", "https://example.com/a/path/of-words/and_more_words", "getElementsByClassNameAndTagName", "x" * 60, "1234567890" * 5, "changeme" * 4):
+        assert secrets.entropy_spans(text, secrets.base_spans(text)) == [], text
 
 
 def test_sharding_laws(docs, empty):
@@ -565,6 +776,59 @@ def test_feistel_is_a_permutation(spark, n):
     assert n <= a * b < n + a
 
 
+def plain_place(x, n, a, b, seed, hashes):
+    while True:
+        left, right = divmod(x, b)
+        for k in range(0, sharding.ROUNDS, 2):
+            left = (left + hashes[right, k] % a) % a
+            right = (right + hashes[left, k + 1] % b) % b
+        x = left * b + right
+        if x < n:
+            return x
+
+
+@pytest.mark.parametrize("n", [5, 90, 1000])
+def test_feistel_matches_a_plain_network(spark, n):
+    a, b = sharding.grid(n)
+    cells = spark.range(max(a, b)).crossJoin(spark.range(sharding.ROUNDS).withColumnRenamed("id", "k"))
+    seeded = cells.select("id", "k", F.xxhash64("id", F.lit(sharding.SEED), F.col("k").cast("int")).alias("h")).collect()
+    hashes = {(r.id, r.k): r.h for r in seeded}
+    got = {r.id: r.place for r in sharding.permuted(spark.range(n), "id", n).collect()}
+    assert got == {x: plain_place(x, n, a, b, sharding.SEED, hashes) for x in range(n)}
+
+
+def test_row_numbers_have_no_gaps_whatever_the_groups(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "GROUP", 3)
+    rows = spark.createDataFrame([(i * 7 % 501, i % 4) for i in range(900)], "a int, b int")
+    numbered, n = sharding.number_rows(rows, ["a", "b"], bucket=20)
+    assert n == 900 and sorted(r.row_number for r in numbered.collect()) == list(range(900))
+
+
+def test_mixed_texts_keep_clashing_columns_and_no_rows(spark, docs, empty):
+    clashing = docs.select("doc_id", "text", "source", F.lit(7).alias("words"), F.lit("n").alias("nth"), F.lit("t").alias("t"), F.lit(3).alias("taken"), F.lit("p").alias("piece"))
+    got = mixing.mixed_texts(clashing, clashing.columns)
+    assert got.columns == clashing.columns
+    rows = got.collect()
+    assert rows and all((r.words, r.nth, r.t, r.taken, r.piece) == (7, "n", "t", 3, "p") for r in rows)
+    assert mixing.mixed_texts(empty, empty.columns).count() == 0
+
+
+def test_near_duplicates_of_no_rows(empty):
+    assert simhash.near_duplicates(empty).count() == 0 and simhash.drop_near_duplicates(empty).count() == 0
+
+
+def test_operators_take_rows_all_of_whose_columns_are_null(spark):
+    rows = spark.createDataFrame([(None,) * 9] * 3, DOCS)
+    assert [(r.doc_id, r.n_words, r.n_removed, r.text) for r in substrings.remove_repeats(rows).collect()] == [(None, 0, 0, "")] * 3
+    assert [(r.text, r.n_lines, r.n_dropped) for r in lines.drop_frequent_lines(rows, min_docs=2).collect()] == [("", 1, 0)] * 3
+    assert simhash.drop_near_duplicates(rows).count() == 3
+    assert {r.component_id for r in simhash.near_duplicates(rows).collect()} == {None}
+    assert sorted(r.slot for r in sharding.shard(rows, shards=1).collect()) == [0, 1, 2]
+    assert [(r.size, r.taken) for r in mixing.mix(rows).collect()] == [(0, 0)] * 3
+    assert [(r.base, r.spans) for r in secrets.scan(rows).collect()] == [("", "")] * 3
+    assert [r.length for r in packing.pack(rows, **queries.vocabulary()).collect()] == [1] * 3
+
+
 def test_kept_hashes_are_of_the_kept_text(spark, tmp_path, docs):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     rows = {r.doc_id: r for r in queries.op6_lines(spark, str(tmp_path)).collect()}
