@@ -8,23 +8,22 @@ from pyspark.sql import functions as F
 from sedimo.llm.shared import discard, save
 
 
-def _with_least(links: DataFrame, least: DataFrame) -> DataFrame:
-    return links.join(least, "a")
-
-
 def _large_star(e: DataFrame) -> DataFrame:
     """Every larger neighbour of a node moves to the node's least neighbour."""
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    up = both.where("b > a")
-    return _with_least(up, least).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = save(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+    out = save(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+    discard(least)
+    return out
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     """A node and its smaller neighbours move to the least of them."""
-    least = e.groupBy("a").agg(F.min("b").alias("m"))
-    moved = _with_least(e, least).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    least = save(e.groupBy("a").agg(F.min("b").alias("m")), "least")
+    moved = e.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    out = save(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "links")
+    discard(least)
+    return out
 
 
 def _is_forest_of_stars(e: DataFrame) -> bool:
@@ -42,15 +41,17 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     ``root`` is the least node of the component.  Alternating large-star and
     small-star rounds shrink all links to stars, in a number of rounds that grows
     with the logarithm of the nodes; each round is a few shuffles of
-    the links, is written to the shared folder, and splits hub nodes through
-    Spark's skew join.  Null ends and self-links are ignored.
+    the links and is written to the shared folder.  The least neighbours
+    are tables of their own, so that a join reads plain shuffles and a hub's
+    links can be split among tasks.  Null ends and self-links are ignored.
     """
     e = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(
         f"{a} is not null and {b} is not null and {a} <> {b}"
     )
     e = save(e.distinct(), "links")
     while not _is_forest_of_stars(e):
-        nxt = save(_small_star(_large_star(e)), "links")
-        discard(e)
-        e = nxt
+        large = _large_star(e)
+        small = _small_star(large)
+        discard(e, large)
+        e = small
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -198,6 +198,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK)
     dealt = dealt.selectExpr("nid", "label", "dim", f"slot div {1 + PROBES} as t", f"cast(slot % {1 + PROBES} = 0 as int) as home", "cell")
     where = ["label", "dim", "t", "cell"]
     met = dealt.groupBy(*where).agg(F.count("*").alias("n"), F.max("home").alias("any")).where("n > 1 and any = 1").drop("any")
+    met = save(met, "met")  # the join reads plain shuffles, so that a large cell can be split among tasks
     parts = F.ceil(F.col("n") / block).cast("int")
     placed = dealt.join(met, where).withColumn("parts", parts).withColumn("b", F.pmod(F.xxhash64("nid"), F.col("parts")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least("b", x).alias("i"), F.greatest("b", x).alias("j")))
@@ -214,7 +215,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK)
     named = nodes.join(counts, "nid", "left").join(roots.withColumnRenamed("node", "nid"), "nid", "left")
     named = named.select("h", "g", "node", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "nid").alias("root"))
     named = save(named, "named")
-    discard(nodes, found)
+    discard(nodes, met, found)
     heads = named.groupBy("root").agg(F.min("node").alias("component_id"))
     named = named.join(heads, "root").select("h", "g", "n_links", "component_id")
     linked = fit.select("vec_id", *name).join(named, ["h", "g"]).select("vec_id", "n_links", "component_id")

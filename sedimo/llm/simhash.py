@@ -25,7 +25,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, GroupedData
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimo.llm.components import connected_components
@@ -33,14 +33,8 @@ from sedimo.llm.shared import discard, save
 
 BITS = 64
 SEED = 42
-#: For similarities that put fingerprints far apart: fingerprints of a document, the bits of each that tables are
-#: built on, the radius there, and the bits of all fingerprints that may differ.  A similarity of 0.8 between sets
-#: is a cosine of 0.89, an angle of 27 degrees, and so 97 of 640 bits on average.
-WIDE_PRINTS, WIDE_BITS, WIDE_RADIUS, WIDE_DISTANCE = 10, 44, 3, 103
+#: Members up to which a bucket gives its pairs; a larger one gives points, which connect the same fingerprints.
 SMALL = 16
-#: In the wide mode, members of a block, within which all are compared, and the members of a larger bucket that all
-#: its blocks are compared with.
-BLOCK, HEADS = 64, 4
 CHUNK = 1 << 16
 #: Odd multipliers for further fingerprints from the same hashes, from a seeded generator.
 _MIX = [random.Random(f"print {k}").getrandbits(64) | 1 for k in range(64)]
@@ -113,7 +107,7 @@ def _signed(bit: int) -> int:
 
 
 def similar(nodes: DataFrame, radius: int = 2) -> DataFrame:
-    """Links ``(a, b)`` that connect all nodes with fingerprints within ``radius`` bits.
+    """Links ``(a, b)`` that connect all nodes with fingerprints within ``radius`` bits; a written table.
 
     ``nodes`` has ``node`` and ``prints``; any of the prints may link.
     """
@@ -123,7 +117,8 @@ def similar(nodes: DataFrame, radius: int = 2) -> DataFrame:
     one = nodes.select("node", F.posexplode("prints").alias("k", "fp"))
     dealt = one.select("node", "k", "fp", F.posexplode(F.array(*map(F.lit, masks))).alias("t", "mask"))
     dealt = dealt.select("node", "k", "fp", "t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
-    shared = dealt.groupBy("k", "t", "key").agg(F.count("*").alias("n")).where("n > 1")
+    # A table of its own, so that the join reads plain shuffles and a large bucket can be split among tasks.
+    shared = save(dealt.groupBy("k", "t", "key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     met = save(dealt.join(shared, ["k", "t", "key"]), "buckets")
 
     pairs = (
@@ -155,140 +150,11 @@ def similar(nodes: DataFrame, radius: int = 2) -> DataFrame:
     )
     # A radius of 1 asks for a member at the point itself; 2 does not.
     least = points.groupBy("k", "z").agg(F.min("node").alias("b"), F.max("node").alias("top"), F.max("own").alias("own"))
-    least = least.where("b <> top" if radius == 2 else "b <> top and own").select("k", "z", "b")
+    least = save(least.where("b <> top" if radius == 2 else "b <> top and own").select("k", "z", "b"), "least")
     stars = points.join(least, ["k", "z"]).where("node <> b").select(F.col("node").alias("a"), "b")
-    return pairs.unionByName(stars).distinct()
-
-
-def _apart(x: Column, y: Column) -> Column:
-    """The bits in which two arrays of fingerprints differ, all together."""
-    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, d: s + d)
-
-
-def _least_linked(prints: np.ndarray, distance: int) -> np.ndarray:
-    """For each row of a block the least position it hangs together with, through rows within ``distance``."""
-    away = np.zeros((len(prints), len(prints)), np.int64)
-    for k in range(prints.shape[1]):
-        away += np.bitwise_count((prints[:, k][:, None] ^ prints[:, k][None, :]).view(np.uint64))
-    return least_reached(away <= distance)
-
-
-def least_reached(link: np.ndarray) -> np.ndarray:
-    """For each row of a matrix of links, each row linked to itself, the least position it hangs together with."""
-    at = np.arange(len(link))
-    while True:
-        moved = np.where(link, at[None, :], len(at)).min(axis=1)
-        moved = moved[moved]
-        if (moved == at).all():
-            return at
-        at = moved
-
-
-def _links_within(blocks: DataFrame, distance: int) -> DataFrame:
-    """Links ``(a, b)`` that connect the members ``m`` of each block as all its pairs within ``distance`` do.
-
-    All pairs are compared; a member gives one link at most, and what several
-    blocks of a batch give is given once.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [np.empty((0, 2), np.int64)]
-            for m in batch.column(0):
-                node = m.values.field("node").to_numpy()
-                prints = m.values.field("prints").flatten().to_numpy().reshape(len(node), -1)
-                at = _least_linked(prints, distance)
-                found.append(np.stack([node, node[at]], axis=1)[at != np.arange(len(at))])
-            links = np.unique(np.concatenate(found), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["a", "b"])
-
-    return blocks.select("m").mapInArrow(run, "a long, b long")
-
-
-def _prints_within(blocks: GroupedData, distance: int) -> DataFrame:
-    return _links_within(blocks.agg(F.collect_list(F.struct("node", "prints")).alias("m")), distance)
-
-
-def links_left(
-    members: DataFrame,
-    joined: DataFrame,
-    nodes: DataFrame,
-    distance: float,
-    apart: Callable[[Column, Column], Column] = _apart,
-    within: Callable[[GroupedData, float], DataFrame] = _prints_within,
-) -> DataFrame | None:
-    """The links of large buckets between nodes that ``joined`` doesn't connect yet; None if no bucket has two components.
-
-    ``members`` has ``key``, ``node`` and ``near``, the distances to the bucket's
-    heads.  A member's home is the first head within ``distance``.  By the
-    triangle inequality, one farther than twice that from a head has no link to
-    its home members, so only those between ask there; members without a home
-    are compared in blocks.  Whatever is in one component already is not
-    compared.  ``apart`` is the distance of two ``prints``, a metric, and
-    ``within`` gives the links within blocks of ``node`` and ``prints``.
-    """
-    named = members.join(joined.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    home = F.filter("near", lambda h: h.d <= distance)
-    left = save(named.join(mixed, "key").withColumn("home", F.get(home, 0)), "mixed")
-    if left.isEmpty():
-        return None
-    prints = nodes.select("node", "prints")
-    held = left.where("home is not null").select("key", F.col("home.head").alias("head"), "node", "root", F.col("home.d").alias("d"))
-    asks = left.select("key", "node", "root", F.explode("near").alias("h")).where((F.col("h.d") > distance) & (F.col("h.d") <= 2 * distance))
-    asks = asks.select("key", F.col("h.head").alias("head"), F.col("node").alias("a"), F.col("root").alias("a_root"), F.col("h.d").alias("a_d"))
-    # Home members share their head's component, so one row tells whether asking there can join anything.
-    heads = held.groupBy("key", "head").agg(F.first("root").alias("h_root"))
-    asks = asks.join(heads, ["key", "head"]).where("a_root <> h_root")
-    asks = asks.join(prints.select(F.col("node").alias("a"), F.col("prints").alias("a_prints")), "a")
-    held = held.join(asks.select("key", "head").distinct(), ["key", "head"], "left_semi").join(prints, "node")
-    held = held.select(F.col("key").alias("k"), F.col("head").alias("h"), "node", "d", "prints")
-    close = (F.col("a_d") - F.col("d") <= distance) & (apart(F.col("a_prints"), F.col("prints")) <= distance)
-    answers = asks.join(held, (F.col("key") == F.col("k")) & (F.col("head") == F.col("h")) & close).select("a", F.col("node").alias("b"))
-
-    rest = left.where("home is null").select("key", "node", "root")
-    sizes = rest.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    rest = rest.join(sizes.select("key", parts.alias("parts")), "key").withColumn("b", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    blocks = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least("b", x).alias("i"), F.greatest("b", x).alias("j")))
-    rest = rest.select("key", "node", F.explode(blocks).alias("p")).select("key", "node", "p.i", "p.j").join(prints, "node")
-    return answers.unionByName(within(rest.groupBy("key", "i", "j"), distance))
-
-
-def alike(nodes: DataFrame, bits: int = WIDE_BITS, radius: int = WIDE_RADIUS, distance: int = WIDE_DISTANCE) -> DataFrame:
-    """Links ``(a, b)`` that connect all nodes of one bucket whose fingerprints differ in at most ``distance`` bits all together.
-
-    Candidates are the pairs within ``radius`` in the lowest ``bits`` of any one
-    fingerprint, all of which some covering table brings together.  ``bits``
-    should be at least six more than the binary logarithm of the number of
-    nodes, so that few meet by chance.  Buckets are cut into blocks of about
-    ``BLOCK``, which are compared pair by pair.  Where a bucket has more blocks,
-    all are compared with ``HEADS`` of its members too; what that joins into one
-    component needs nothing more, and :func:`links_left` finds the links that
-    are left, without exception.
-    """
-    masks = covering_masks(radius, bits=bits)
-    one = nodes.select("node", F.posexplode("prints").alias("k", "fp"))
-    dealt = one.select("node", "k", "fp", F.posexplode(F.array(*map(F.lit, masks))).alias("t", "mask"))
-    table = F.shiftleft((F.col("k") * len(masks) + F.col("t")).cast("long"), bits)
-    dealt = dealt.select("node", F.col("fp").bitwiseAND(F.col("mask")).bitwiseOR(table).alias("key"))
-    shared = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = dealt.join(shared, "key").join(nodes.select("node", "prints"), "node")
-    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)).alias("block")
-    blocks = save(met.groupBy("key", "n", block).agg(F.collect_list(F.struct("node", "prints")).alias("m")), "buckets")
-
-    found = _links_within(blocks, distance)
-    large = blocks.where(F.col("n") > BLOCK)
-    heads = large.groupBy("key").agg(*[F.min_by(F.get("m", h), F.when(F.size("m") > h, F.xxhash64("key", "block", F.lit(h)))).alias(f"h{h}") for h in range(HEADS)])
-    heads = heads.select("key", F.array_compact(F.array(*[f"h{h}" for h in range(HEADS)])).alias("heads"))
-    away = lambda prints: F.transform("heads", lambda h: F.struct(h.node.alias("head"), _apart(prints, h.prints).alias("d")))
-    members = large.join(heads, "key").select("key", F.explode(F.transform("m", lambda x: F.struct(x.node.alias("node"), away(x.prints).alias("near")))).alias("x"))
-    members = save(members.select("key", "x.node", "x.near"), "members")
-    stars = members.select(F.col("node").alias("a"), F.explode(F.filter("near", lambda h: h.d <= distance)).alias("h")).select("a", F.col("h.head").alias("b"))
-    joined = connected_components(found.unionByName(stars), "a", "b")
-    left = links_left(members, joined, nodes, distance)
-    joined = joined.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    return joined if left is None else joined.unionByName(left).distinct()
+    found = save(pairs.unionByName(stars).distinct(), "similar")
+    discard(shared, met, least)
+    return found
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, prints: int = 1, links: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -300,7 +166,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, prints: in
     by its least doc_id, so that groups of exact copies cost one row.  Rows that
     share a doc_id count as one document.  A null doc_id has its fingerprint and
     takes the component of an equal fingerprint; a fingerprint that only null
-    ids have stays alone, with a null component_id.  No rows give no rows.
+    ids have stays alone, with a null component_id.  Whole texts count, whatever
+    their length; other columns are left out.  No rows give no rows.
     """
     return grouped(save(fingerprints(docs, width, prints), "prints"), links or (lambda known: similar(known, radius)))
 
@@ -325,13 +192,17 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     """Keep the row with the least doc_id of each group, with all its columns.
 
     Groups are those of :mod:`sedimo.llm.overlap` over sets of shingles of
-    ``width`` words: what links of a similarity of 0.8 or more connect.  Of rows
-    that share a doc_id one stays.  Rows without a doc_id cannot be named by a
-    group and stay.
+    ``width`` words: what links of a similarity of 0.8 or more connect.  Texts
+    without any word, null ones too, are one group.  Of rows that share a doc_id
+    the one with the least other columns stays, in their order.  Rows without a
+    doc_id cannot be named by a group and stay.  Texts are compared whole,
+    whatever their length.  Other columns, which have to be of types that have
+    an order, come along.  No rows give no rows.
     """
     from sedimo.llm import overlap  # it builds on this module
 
     groups = overlap.copies(docs, width)
     kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    others = [c for c in docs.columns if c != "doc_id"]
+    named = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*others)).alias("least")).select("doc_id", "least.*")
+    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
