@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ BROADCAST_KEYS = 100_000
 BROADCAST_BYTES = 16 << 20
 #: Ranges that a run's keys are sorted in, the sample that decides them, and the bytes of a cut.
 RANGES, SAMPLE, CUT_BYTES = 64, 4096, 64
+#: Sampled keys of a range, at least: few keys aren't worth ranges.
+LEAST_KEYS = 32
 
 
 def _only(versions: DataFrame, keys: DataFrame, small: bool) -> DataFrame:
@@ -89,14 +92,15 @@ def cuts_of(keys: DataFrame, parts: int = RANGES) -> list:
     They come from a sample of fixed size; where they fall changes how work is
     spread and never a result.
     """
-    seen = keys.select(F.substring("key", 1, CUT_BYTES).alias("k")).orderBy(F.rand(7)).limit(SAMPLE).collect()
+    seen = keys.select(F.substring("key", 1, CUT_BYTES).alias("k"), F.rand(7).alias("turn")).orderBy("turn").limit(SAMPLE).collect()
     found = sorted({bytes(r.k) if isinstance(r.k, bytearray) else r.k for r in seen if r.k is not None})
-    return found[:: max(1, -(-len(found) // parts))][1:]
+    return found[:: max(LEAST_KEYS, -(-len(found) // parts))][1:]
 
 
 def range_of(key: Column, cuts: Sequence) -> Column:
     """The range that a key is in: how many cuts aren't above it."""
-    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= key)) if cuts else F.lit(0)
+    # Sums and not a filter of an array: the optimizer carries a lambda's column over a join to the side that lacks it.
+    return F.coalesce(reduce(Column.__add__, [(key >= F.lit(c)).cast("int") for c in cuts]), F.lit(0)) if cuts else F.lit(0)
 
 
 def _carried(rows: DataFrame, by: Sequence[str], ranges: int) -> DataFrame:
