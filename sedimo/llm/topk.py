@@ -161,6 +161,19 @@ def _parts(per_block: int, seed: int) -> Column:
     return F.pmod(F.xxhash64("vec_id", "key", F.lit(seed)), F.greatest(F.lit(1), F.ceil(F.col("n") / per_block)).cast("long"))
 
 
+def _nearest(cells: int) -> Column:
+    """The nearest of the first ``cells`` pivots."""
+    near = F.slice("d", 1, max(1, min(PIVOTS, cells)))
+    return F.array_position(near, F.array_min(near)).cast("int")
+
+
+def _sized(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Add ``n``, the rows of each cell."""
+    held = rows.groupBy(*by).agg(F.count("*").alias("n"))
+    few = held.limit(CELLS_SENT + 1).count() <= CELLS_SENT  # else vectors have very many lengths
+    return rows.join(F.broadcast(held) if few else held, by)
+
+
 def _ranges(rows: DataFrame, by: list[str], prefix: str) -> DataFrame:
     """For each block the least and greatest distance to each pivot and the greatest squared length."""
     one = [f(F.get("d", p)).alias(f"{prefix}_{f.__name__}{p}") for p in range(PIVOTS) for f in (F.min, F.max)]
@@ -204,23 +217,22 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, ca
 
     rows = rows.withColumn("d", F.arrow_udf(distances, "array<double>")("v"))
     square = F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))
-    # No more cells than blocks of candidates, so that blocks aren't small.
-    near = F.slice("d", 1, max(1, min(PIVOTS, -(-vectors.count() // candidates))))
-    rows = save(rows.withColumn("cell", F.array_position(near, F.array_min(near)).cast("int")).withColumn("length", square), "pivot-table")
-    held = rows.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.count_if("is_query").alias("n_asks"))
-    few = held.limit(CELLS_SENT + 1).count() <= CELLS_SENT  # else vectors have very many lengths
-    rows = rows.join(F.broadcast(held) if few else held, ["dim", "cell"]).withColumn("part", _parts(candidates, 1))
-    asks = rows.where("is_query").dropDuplicates(["vec_id", "key"])
+    # No more cells than blocks of candidates, or of queries, so that blocks aren't small.
+    count, asking = vectors.agg(F.count("*"), F.count_if(is_query)).first()
+    rows = rows.withColumn("cell", _nearest(-(-count // candidates))).withColumn("q_cell", _nearest(-(-asking // queries)))
+    rows = save(rows.withColumn("length", square), "pivot-table")
+    rows = _sized(rows, ["dim", "cell"]).withColumn("part", _parts(candidates, 1))
+    asks = rows.where("is_query").drop("n").dropDuplicates(["vec_id", "key"])
     floor = F.lit(None).cast("long")
-    pool = rows.withColumn("is_query", F.lit(False)).withColumn("floor", floor)
+    pool = rows.drop("q_cell").withColumn("is_query", F.lit(False)).withColumn("floor", floor)
     group = ["vec_id", "key", "v", "d", "is_query", "floor", *BLOCK]
 
     own = pool.select(group).unionByName(asks.withColumn("floor", floor).select(group))
     seeds = own.groupBy(*BLOCK).applyInArrow(lambda t: _search(t, k), FOUND).groupBy("query_id", "query_key")
     floors = seeds.agg(F.min("score").alias("floor"), F.count("*").alias("found")).where(F.col("found") >= k)
     floors = floors.select(F.col("query_id").alias("vec_id"), F.col("query_key").alias("key"), "floor")
-    asks = asks.join(floors, ["vec_id", "key"], "left").drop("n", "part").withColumnRenamed("n_asks", "n").withColumnRenamed("cell", "q_cell")
-    asks = save(asks.withColumn("q_part", _parts(queries, 2)), "asks")
+    asks = asks.join(floors, ["vec_id", "key"], "left").drop("cell", "part")
+    asks = save(_sized(asks, ["dim", "q_cell"]).withColumn("q_part", _parts(queries, 2)), "asks")
 
     pairs = save(_pairs(asks, pool), "block-pairs")
     both = [*group, "q_cell", "q_part"]
