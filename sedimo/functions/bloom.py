@@ -26,6 +26,10 @@ MIX_2 = 0xC4CEB9FE1A85EC53
 LN2 = 0.69
 LEAST_BITS = 64
 MOST_HASHES = 30
+#: Runs whose filters are asked at once, a bit for each, and keys that are asked at once.
+LANES, CHUNK = 512, 4096
+#: Keys, and bytes of filters, that meet in one task.
+CELL_KEYS, CELL_BYTES = 1 << 16, 4 << 20
 
 
 def bloom_params(keys: int, bits_per_key: int) -> tuple[int, int]:
@@ -178,3 +182,61 @@ def filter_figures(filters: DataFrame, by: str = "run_id") -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(list(c), pa.int64()) for c in columns], ["bits", "hashes", "bits_set", "place_sum"])
 
     return filters.select(by, F.arrow_udf(figures, "bits long, hashes long, bits_set long, place_sum long")("bloom").alias("f")).select(by, "f.*")
+
+
+def _asked_together(filters: list[Bloom], h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many keys each of ``filters``, all of one shape, lets pass, and whether any key meets a set bit of it.
+
+    The filters are laid side by side: a row for each place, with a bit for each
+    filter, so that one operation asks 64 of them.
+    """
+    bits, hashes = filters[0].bits, filters[0].hashes
+    width = -(-len(filters) // 64) * 64
+    flags = np.zeros((bits, width), np.uint8)
+    for i, f in enumerate(filters):
+        flags[:, i] = np.unpackbits(f.data, bitorder="little")
+    table = np.packbits(flags, axis=1, bitorder="little").view(np.uint64)
+    passed, met = np.zeros(width, np.int64), np.zeros(width // 64, np.uint64)
+    for at in range(0, len(h1), CHUNK):
+        x, y = h1[at : at + CHUNK], h2[at : at + CHUNK]
+        all_set = np.full((len(x), width // 64), np.iinfo(np.uint64).max, np.uint64)
+        for k in range(hashes):
+            rows = table[((x + np.uint64(k) * y) % np.uint64(bits)).astype(np.int64)]
+            all_set &= rows
+            met |= np.bitwise_or.reduce(rows, axis=0)
+        passed += np.unpackbits(all_set.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return passed[: len(filters)], np.unpackbits(met.view(np.uint8), bitorder="little")[: len(filters)].astype(bool)
+
+
+def pass_counts(keys: DataFrame, filters: DataFrame, n_keys: int, filter_bytes: int, by: str = "run_id") -> DataFrame:
+    """``(by, asked, passed)``: of all ``keys`` how many each run's filter is asked for and lets pass.
+
+    Every filter is asked for every key, but no pair becomes a row.  Keys are
+    dealt to slots and filters to parts, by ``n_keys`` and ``filter_bytes``,
+    which are estimates and change no result; a task has one slot and one part.
+    A run without a set bit that any key meets gives no row.
+    """
+    slots, parts = max(1, -(-n_keys // CELL_KEYS)), max(1, -(-filter_bytes // CELL_BYTES))
+    dealt = key_hashes(keys.where("key is not null")).withColumn("slot", F.pmod("h1", F.lit(slots)).cast("int"))
+    dealt = dealt.select("slot", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "h1", "h2")
+    laid = filters.withColumn("part", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int"))
+    laid = laid.select(F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"), "part", F.col(by).cast("long").alias(by), "bloom")
+
+    def ask(asked: pa.Table, blooms: pa.Table) -> pa.Table:
+        h1, h2 = (asked[c].to_numpy().view(np.uint64) for c in ("h1", "h2"))
+        alike: dict[tuple[int, int], list[tuple[int, Bloom]]] = {}
+        for run, raw in zip(blooms[by].to_pylist(), blooms["bloom"].to_pylist(), strict=True):
+            f = Bloom.deserialize(raw)
+            alike.setdefault((f.bits, f.hashes), []).append((run, f))
+        rows = []
+        for (bits, _), own in alike.items():
+            for i in range(0, len(own), LANES):
+                runs, some = zip(*own[i : i + LANES], strict=True)
+                passed, met = _asked_together(list(some), h1, h2) if bits else ([len(h1)] * len(runs), [len(h1) > 0] * len(runs))
+                rows += zip(runs, [len(h1)] * len(runs), map(int, passed), map(bool, met), strict=True)
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+        return pa.table([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=[by, "asked", "passed", "met"])
+
+    found = dealt.groupBy("slot", "part").cogroup(laid.groupBy("slot", "part")).applyInArrow(ask, f"{by} long, asked long, passed long, met boolean")
+    return found.groupBy(by).agg(F.sum("asked").alias("asked"), F.sum("passed").alias("passed"), F.max("met").alias("met")).where("met").drop("met")

@@ -74,13 +74,6 @@ def probe_accounting(runs: DataFrame, keys: DataFrame, n_runs: DataFrame) -> Dat
     return asked.select("key", F.coalesce("first", "n").cast("long").alias("probes"))
 
 
-def every_pair(keys: DataFrame, runs: DataFrame) -> DataFrame:
-    """Each lookup key with each run, which is what asking every run's filter takes; dealt by a hash of the key."""
-    slot = F.pmod(F.xxhash64("key"), F.lit(RANGES)).cast("int")
-    dealt = runs.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(RANGES - 1))))
-    return keys.select("key", slot.alias("_slot")).join(dealt, "_slot").drop("_slot")
-
-
 def record_bytes(key: str = "key", value: str = "value") -> Column:
     """Bytes of a record in a sorted run."""
     return F.octet_length(key) + F.coalesce(F.octet_length(value), F.lit(0)) + RECORD_OVERHEAD

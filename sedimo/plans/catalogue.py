@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sedimo.functions.bloom import FNV_BASIS, FNV_PRIME, MIX_1, MIX_2, SECOND_SEED, bloom_params_columns, build_filters, filter_figures, key_hashes, probe_filters
+from sedimo.functions.bloom import FNV_BASIS, FNV_PRIME, MIX_1, MIX_2, SECOND_SEED, bloom_params_columns, build_filters, filter_figures, key_hashes, pass_counts, probe_filters
 from sedimo.functions.codec import LOG_DELETE, LOG_NAME, LOG_PUT, RUN_NAME, log_name, parse_id, run_name
 from sedimo.operators import lookup, merge
 from sedimo.operators.policy import LayoutModel, pick_compaction_rows, settle
@@ -536,13 +536,13 @@ def bloom_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def bloom_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many lookup keys each run's filter lets pass, and how many of those the run hasn't."""
-    runs = all_runs(spark, sf_dir).select("run_id", "key")
-    filters = build_filters(runs, BITS)
-    asked = lookup.every_pair(wanted(spark, sf_dir).distinct(), filters.select("run_id"))
-    found = probe_filters(asked, filters).join(runs.withColumn("held", F.lit(True)), ["run_id", "key"], "left")
-    return found.groupBy("run_id").agg(
-        F.count("*").alias("asked"), F.count_if("maybe").alias("passed"), F.count_if(F.col("maybe") & F.col("held").isNull()).alias("false_positives")
-    )
+    runs, keys = all_runs(spark, sf_dir).select("run_id", "key"), wanted(spark, sf_dir).where("key is not null").distinct()
+    n_keys, n_events = table(spark, sf_dir, "customer").count(), table(spark, sf_dir, "events").count()
+    found = pass_counts(keys, build_filters(runs, BITS), n_keys, n_events * BITS // 8)
+    # A filter lets every key of its run pass, so what passes besides is false.
+    held = runs.join(keys, "key", "left_semi").groupBy("run_id").agg(F.count("*").alias("held"))
+    told = found.join(held, "run_id", "left").withColumn("held", F.coalesce("held", F.lit(0)))
+    return told.select("run_id", "asked", "passed", (F.col("passed") - F.col("held")).alias("false_positives"))
 
 
 @query(

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from sedimo.functions import bloom
 from sedimo.functions.bloom import Bloom, bloom_params
 from sedimo.functions.codec import Corrupt, Mutation, RunFile, log_record, replay_log, write_run
 from sedimo.operators import lookup, merge, policy
@@ -410,3 +411,55 @@ def test_payload_checksum_is_that_of_the_log_record(spark):
     rows = catalogue.mutations(spark, SF).collect()
     want = {r.seq: int.from_bytes(log_record(Mutation(r.op == "del", r.key.encode(), (r.value or "").encode()))[:4], "little") for r in rows}
     assert {r.seq: r.crc for r in catalogue.QUERIES["wal_record_crc"](spark, SF).collect()} == want
+
+
+def rows_shuffled(spark, make):
+    """How many rows the stages that ``make`` runs write for shuffles, and what it returns."""
+    sc, none = spark.sparkContext._jsc.sc(), spark._jvm.java.util.ArrayList()
+    no_quantiles = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def written():
+        sc.listenerBus().waitUntilEmpty()
+        stages = sc.statusStore().stageList(none, False, False, no_quantiles, none)
+        return {s.stageId(): s.shuffleWriteRecords() for s in map(stages.apply, range(stages.size()))}
+
+    before = written()
+    found = make()
+    return sum(n for stage, n in written().items() if stage not in before), found
+
+
+@pytest.fixture(scope="module")
+def many_pairs(spark, tmp_path_factory):
+    """Tables whose runs and lookup keys make far more pairs than rows."""
+    root = str(tmp_path_factory.mktemp("pairs"))
+    events = spark.read.parquet(f"{SF.replace('sf0.001', 'sf0.01')}/events.parquet")
+    copies = [events.withColumn("event_id", F.col("event_id") + 10_000 * r).withColumn("user_id", F.col("user_id") + 40 * r) for r in range(2)]
+    copies[0].unionByName(copies[1]).write.parquet(f"{root}/events.parquet")
+    spark.range(20_000).select(F.col("id").alias("c_custkey")).write.parquet(f"{root}/customer.parquet")
+    return root
+
+
+def test_asking_every_filter_makes_no_row_of_a_pair(spark, many_pairs):
+    shuffled, found = rows_shuffled(spark, lambda: catalogue.QUERIES["bloom_probes"](spark, many_pairs).collect())
+    assert len(found) == 20 and all(r.asked == 20_000 for r in found)
+    assert shuffled < 20 * 20_000 / 2
+
+
+@pytest.mark.parametrize("cell", [(1 << 16, 1 << 22), (70, 100)])
+def test_filters_asked_together_tell_what_each_tells_alone(spark, monkeypatch, cell):
+    monkeypatch.setattr(bloom, "CELL_KEYS", cell[0])
+    monkeypatch.setattr(bloom, "CELL_BYTES", cell[1])
+    if cell[0] < 100:
+        monkeypatch.setattr(bloom, "LANES", 3)
+        monkeypatch.setattr(bloom, "CHUNK", 11)
+    rng = random.Random(8)
+    own = {run: [f"k{rng.randrange(400)}".encode() for _ in range(rng.choice([1, 8, 30, 30, 90]))] for run in range(70)}
+    asked = [f"k{i}".encode() for i in range(0, 800, 3)] + ["ünï".encode(), b""]
+    filters = {run: Bloom.of(keys, 0 if run == 5 else 10) for run, keys in own.items()}
+    filters[70] = Bloom(64, 6, bloom.np.zeros(8, bloom.np.uint8))  # nothing is in it
+    made = spark.createDataFrame([(run, f.serialize()) for run, f in filters.items()], "run_id long, bloom binary")
+    keys = spark.createDataFrame([(k,) for k in [*asked, None]], "key binary")
+    got = bloom.pass_counts(keys, made, len(asked), sum(len(f.serialize()) for f in filters.values())).collect()
+    want = {run: (len(asked), int(f.may_contain(asked).sum())) for run, f in filters.items() if run != 70}
+    assert {r.run_id: (r.asked, r.passed) for r in got} == want and len(got) == len(want)
+    assert bloom.pass_counts(keys.where("false"), made, 0, 0).count() == 0 and bloom.pass_counts(keys, made.where("false"), 9, 9).count() == 0
