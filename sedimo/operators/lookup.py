@@ -19,6 +19,8 @@ BROADCAST_BYTES = 16 << 20
 RANGES, SAMPLE, CUT_BYTES = 64, 4096, 64
 #: Sampled keys of a range, at least: few keys aren't worth ranges.
 LEAST_KEYS = 32
+#: Targets that stay together as one array, in key order.
+CHUNK = 4096
 
 
 def _only(versions: DataFrame, keys: DataFrame, small: bool) -> DataFrame:
@@ -144,16 +146,65 @@ def _last_at_or_before(rows: DataFrame, asks: DataFrame, by: Sequence[str], rang
     return found.select(*by, "_range", F.col("at").alias("target"), *extra, "last.key", "last.ordinal")
 
 
+def _numbered(targets: DataFrame, cuts: Sequence) -> tuple[DataFrame, DataFrame]:
+    """``(target, _range, pos)``, the distinct targets and their places in key order, and ``(_range, start, end)``, the places of each range."""
+    wanted = targets.where("key is not null").select(F.col("key").alias("target")).distinct().withColumn("_range", range_of(F.col("target"), cuts))
+    ranges = targets.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("_range"))
+    sums = ranges.join(wanted.groupBy("_range").agg(F.count("*").alias("n")), "_range", "left")
+    upto = F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy(F.lit(0)).orderBy("_range"))  # a row for each range
+    bounds = sums.select("_range", (upto - F.coalesce("n", F.lit(0))).alias("start"), upto.alias("end"))
+    nth = F.row_number().over(Window.partitionBy("_range").orderBy("target")) - 1
+    return wanted.withColumn("nth", nth).join(F.broadcast(bounds), "_range").select("target", "_range", (F.col("start") + F.col("nth")).alias("pos")), bounds
+
+
+def _stretches(rows: DataFrame, numbered: DataFrame, bounds: DataFrame, by: Sequence[str], ranges: int) -> DataFrame:
+    """``(by, key, ordinal, lo, hi, same)``: the places of the targets whose greatest key of the run that isn't above them is ``key``.
+
+    ``same`` tells whether the target at ``lo`` equals it.  All runs' keys are
+    laid among the targets at once, so what is sorted is keys and targets and
+    not their pairs.  A stretch ends with its range; the next one begins with
+    what the ranges before carry over.
+    """
+    kinds = dict(rows.dtypes)
+    none = [F.lit(None).cast(kinds[c]).alias(c) for c in (*by, "ordinal")]
+    here = rows.select(*by, "ordinal", "_range", F.col("key").alias("at"), F.lit(0).alias("asks"))
+    laid = here.unionByName(numbered.select(*none, "_range", F.col("target").alias("at"), F.lit(1).alias("asks")))
+    # Targets up to the key, those at the key included, and the one at the key.
+    upto, same = F.sum("asks").over(Window.partitionBy("_range").orderBy("at")), F.sum("asks").over(Window.partitionBy("_range", "at"))
+    placed = laid.withColumn("upto", upto).withColumn("same", same).where("asks = 0").join(F.broadcast(bounds), "_range")
+    own = placed.select(*by, "_range", F.col("at").alias("key"), "ordinal", (F.col("start") + F.col("upto") - F.col("same")).alias("lo"), (F.col("same") > 0).alias("same"), "end")
+    carried = _carried(rows, by, ranges).where("key is not null").join(F.broadcast(bounds), "_range")
+    known = own.unionByName(carried.select(*by, "_range", "key", "ordinal", F.col("start").alias("lo"), F.lit(False).alias("same"), "end"))
+    order = Window.partitionBy(*by, "_range").orderBy("ordinal")
+    found = known.withColumn("hi", F.coalesce(F.lead("lo").over(order), "end"))
+    return found.where("hi > lo").select(*by, "key", "ordinal", "lo", "hi", "same")
+
+
+def _spread(stretches: DataFrame, numbered: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """A row for each target of each stretch, with ``columns`` of the stretch, ``target``, and ``equal``: whether it is the key.
+
+    Targets are dealt as arrays, and rows are only made after the last shuffle.
+    """
+    dealt = stretches.withColumn("chunk", F.explode(F.sequence(F.expr(f"lo div {CHUNK}"), F.expr(f"(hi - 1) div {CHUNK}"))))
+    base = F.col("chunk") * CHUNK
+    first, end = F.greatest(F.col("lo") - base, F.lit(0)).cast("int"), F.least(F.col("hi") - base, F.lit(CHUNK)).cast("int")
+    parts = dealt.select("chunk", *columns, first.alias("_first"), (end - first).alias("_n"), (F.col("same") & (F.col("lo") >= base)).alias("same"))
+    chunks = numbered.groupBy(F.expr(f"pos div {CHUNK}").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("pos", "target")))["target"].alias("targets"))
+    # As a hash join, so that an array is not copied for each stretch that meets it; a number of tasks of its own, as rows grow here.
+    met = parts.repartition(RANGES, "chunk").join(chunks.repartition(RANGES, "chunk").hint("shuffle_hash"), "chunk")
+    rows = met.select(*columns, "same", F.posexplode(F.slice("targets", F.col("_first") + 1, F.col("_n"))).alias("_nth", "target"))
+    return rows.select(*columns, "target", (F.col("same") & (F.col("_nth") == 0)).alias("equal"))
+
+
 def sparse_index_seek(index: DataFrame, targets: DataFrame, by: Sequence[str], cuts: Sequence = ()) -> DataFrame:
     """For each target and run the greatest index key that isn't above it; no row before the first.
 
-    A target meets the runs in its range of keys, so what is joined is as many
-    rows as the result has.
+    A block of a run answers a stretch of the targets in key order.  Only the
+    ends of stretches are looked for; the rows are made last, as many as the
+    result has.
     """
-    wanted = targets.select(F.col("key").alias("target")).distinct().withColumn("_range", range_of(F.col("target"), cuts))
-    ranges = len(cuts) + 1
-    runs = index.select(*by).distinct().withColumn("_range", F.explode(F.sequence(F.lit(0), F.lit(ranges - 1))))
-    found = _last_at_or_before(index, wanted.join(runs, "_range"), by, ranges)
+    numbered, bounds = _numbered(targets, cuts)
+    found = _spread(_stretches(index, numbered, bounds, by, len(cuts) + 1), numbered, [*by, "key", "ordinal"])
     return found.select(*by, "target", F.col("key").alias("block"), F.col("ordinal").cast("long").alias("first"))
 
 

@@ -463,3 +463,35 @@ def test_filters_asked_together_tell_what_each_tells_alone(spark, monkeypatch, c
     want = {run: (len(asked), int(f.may_contain(asked).sum())) for run, f in filters.items() if run != 70}
     assert {r.run_id: (r.asked, r.passed) for r in got} == want and len(got) == len(want)
     assert bloom.pass_counts(keys.where("false"), made, 0, 0).count() == 0 and bloom.pass_counts(keys, made.where("false"), 9, 9).count() == 0
+
+
+@pytest.mark.parametrize("name", ["sparse_index_seek"])
+def test_pairs_of_runs_and_targets_are_not_shuffled(spark, many_pairs, name):
+    con = duckdb.connect()
+    for t in ("events", "customer"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{many_pairs}/{t}.parquet/*.parquet'")
+    [(want,)] = con.execute(f"SELECT count(*) FROM ({catalogue.SQL[name]})").fetchall()
+    # All columns are made, as a count alone would not need them.
+    shuffled, got = rows_shuffled(spark, lambda: catalogue.QUERIES[name](spark, many_pairs).agg(F.count(F.hash("*"))).first()[0])
+    assert got == want > 350_000
+    assert shuffled < want / 2
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 4096])
+def test_seeks_of_odd_keys(spark, monkeypatch, chunk):
+    monkeypatch.setattr(lookup, "CHUNK", chunk)
+    rng = random.Random(9)
+    runs = {g: sorted({rng.choice([b"", b"\x80\xff", f"k{rng.randrange(200)}".encode()]) for _ in range(n)}) for g, n in ((1, 120), (2, 1), (3, 40))}
+    run = spark.createDataFrame([(g, k, b"v") for g, keys in runs.items() for k in keys], "run_id long, key binary, value binary")
+    asked = [b"", b"k", b"zz", b"\x80", b"\xff\xff", *[f"k{i}".encode() for i in range(0, 250, 3)]]
+    targets = spark.createDataFrame([(k,) for k in [*asked, *asked[:5], None]], "key binary")
+    want = {}
+    for g, keys in runs.items():
+        for t in asked:
+            at = sum(k <= t for k in keys) - 1
+            if at >= 0:
+                first = at // 16 * 16
+                want[g, t] = keys[first], first
+    for cuts in ([], [b"k1", b"k15", b"k3"], [b"zzz"]):
+        seeks = lookup.sparse_index_seek(lookup.sparse_index(run, ["run_id"], cuts), targets, ["run_id"], cuts).collect()
+        assert {(r.run_id, bytes(r.target)): (bytes(r.block), r.first) for r in seeks} == want and len(seeks) == len(want)
