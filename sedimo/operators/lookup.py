@@ -208,6 +208,21 @@ def sparse_index_seek(index: DataFrame, targets: DataFrame, by: Sequence[str], c
     return found.select(*by, "target", F.col("key").alias("block"), F.col("ordinal").cast("long").alias("first"))
 
 
+def scan_costs(run: DataFrame, targets: DataFrame, by: Sequence[str], cuts: Sequence = (), interval: int = INDEX_INTERVAL) -> DataFrame:
+    """What :func:`block_scan_cost` tells of the seek of every target in every run.
+
+    All targets between two neighbouring records cost the same, so what is
+    looked for is a stretch of targets for each record, and no pair is joined.
+    """
+    at = with_positions(run, by, cuts)
+    numbered, bounds = _numbered(targets, cuts)
+    total = at.groupBy(*by).agg(F.count("*").alias("total"))
+    read = F.col("ordinal") % interval + 1  # from the block's first up to this record
+    costs = _stretches(at, numbered, bounds, by, len(cuts) + 1).join(total, list(by))
+    costs = costs.withColumn("read", read.cast("long")).withColumn("more", F.when(F.col("ordinal") + 1 < F.col("total"), read + 1).otherwise(read).cast("long"))
+    return _spread(costs, numbered, [*by, "read", "more"]).select(*by, "target", F.when(F.col("equal"), F.col("read")).otherwise(F.col("more")).alias("records"))
+
+
 def block_scan_cost(run: DataFrame, seeks: DataFrame, by: Sequence[str], cuts: Sequence = ()) -> DataFrame:
     """``(by, target, records)``: records read from the block's first until the key, a greater one or the end.
 

@@ -283,9 +283,8 @@ def sparse_index_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def block_scan_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a lookup reads in every run."""
-    runs, cuts = all_runs(spark, sf_dir).select("run_id", "key", "value"), key_cuts(spark, sf_dir)
-    seeks = lookup.sparse_index_seek(lookup.sparse_index(runs, ["run_id"], cuts), wanted(spark, sf_dir), ["run_id"], cuts)
-    return lookup.block_scan_cost(runs, seeks, ["run_id"], cuts)
+    runs = all_runs(spark, sf_dir).select("run_id", "key", "value")
+    return lookup.scan_costs(runs, wanted(spark, sf_dir), ["run_id"], key_cuts(spark, sf_dir))
 
 
 @query(
