@@ -1,10 +1,12 @@
-"""Near-duplicates by the exact similarity of shingle sets, with candidates by MinHash.
+"""Near-duplicates by the exact similarity of shingle sets, with candidates by SimHash and, beyond its radius, MinHash.
 
 The similarity of two documents is the number of shingles that both have over
-the number that either has.  Candidates are the pairs that agree in all ``ROWS``
-minima of any of ``BANDS`` bands; a pair of similarity s agrees in one with a
-probability of ``1 - (1 - s**ROWS)**BANDS``, 0.999993 at 0.8.  Every link is then
-decided by the whole sets.
+the number that either has.  First come the pairs whose fingerprints the
+covering tables of :mod:`sedimo.llm.simhash` bring together.  Among what these
+leave apart, candidates are the pairs that agree in all ``ROWS`` minima of any
+of ``BANDS`` bands; a pair of similarity s agrees in one with a probability of
+``1 - (1 - s**ROWS)**BANDS``, 0.999993 at 0.8, where 15 % of a fingerprint's bits
+differ.  Every link is then decided by the whole sets.
 
 Buckets of at most ``SMALL`` give all their pairs.  In a larger one all members
 are compared with a few heads first; one minus the similarity is a metric, so
@@ -61,18 +63,21 @@ def band_keys(s: np.ndarray) -> list[int]:
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """``(doc_id, prints, bands)``: the digest of each row's set and its band keys."""
+    """``(doc_id, prints, fp, bands)``: the digest of each row's set, its text's fingerprint and its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, bands = [], []
+            digests, prints, bands = [], [], []
             for text in batch.column(1):
-                s = shingle_set(text.as_py(), width)
+                h = simhash.shingle_hashes(text.as_py(), width)
+                s = np.unique(h)
                 digests.append(digest(s))
+                prints.append(simhash.majority(h))
                 bands.append(band_keys(s))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "prints", "bands"])
+            made = [pa.array(digests, pa.binary()), pa.array(prints, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["doc_id", "prints", "fp", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, prints binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, prints binary, fp long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -182,24 +187,35 @@ def links_left(
 def links(known: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """Links ``(a, b)`` that connect all candidates of ``known`` within ``DISTANCE``.
 
-    ``known`` has ``node``, ``prints``, a digest, and ``bands``.  Only the sets of
-    candidates are made a second time and kept, from their rows of ``docs``.
+    ``known`` has ``node``, ``prints``, a digest, ``fp`` and ``bands``.  Only the
+    sets of candidates are made a second time and kept, from their rows of
+    ``docs``.  Pairs that the fingerprints' links have settled are not compared.
     """
+    covered = simhash.similar(known.select("node", F.array("fp").alias("prints")))
     dealt = known.select("node", F.explode("bands").alias("key"))
     # Tables of their own, here and below, so that joins read plain shuffles and a large bucket can be split among tasks.
     shared = save(dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     met = save(dealt.join(shared, "key"), "buckets")
     discard(shared)
-    asked = known.join(met.select("node").distinct(), "node").select("node", F.col("prints").alias("digest"))
+    several = met.select("node").union(covered.select("a")).union(covered.select("b")).distinct()
+    asked = known.join(several, "node").select("node", F.col("prints").alias("digest"))
     rows = docs.join(asked.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
     made = shingle_sets(rows, width).join(asked, ["node", "digest"]).dropDuplicates(["digest"])
     sets = save(made.select("node", "prints"), "sets")
     one, other = (sets.select(F.col("node").alias(x), F.col("prints").alias(f"{x}_prints")) for x in "ab")
 
+    def close(pairs: DataFrame) -> DataFrame:
+        return pairs.join(one, "a").join(other, "b").where(apart(F.col("a_prints"), F.col("b_prints")) <= DISTANCE).select("a", "b")
+
+    printed = save(close(covered), "printed")
+    settled = connected_components(printed, "a", "b")
+    x, y = (settled.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab")
+
     few = met.where(F.col("n") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("m"))
     pairs = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, SMALL), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     pairs = few.select(F.explode(pairs).alias("p")).select("p.a", "p.b").where("a <> b").distinct()
-    found = pairs.join(one, "a").join(other, "b").where(apart(F.col("a_prints"), F.col("b_prints")) <= DISTANCE).select("a", "b")
+    apart_yet = F.coalesce("a_root", "a") != F.coalesce("b_root", "b")
+    found = printed.unionByName(close(pairs.join(x, "a", "left").join(y, "b", "left").where(apart_yet).select("a", "b")))
 
     large = met.where(F.col("n") > SMALL).select("key", "node")
     heads = large.groupBy("key").agg(*[F.min_by("node", F.xxhash64("node", F.lit(h))).alias(f"h{h}") for h in range(HEADS)])
@@ -215,7 +231,7 @@ def links(known: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     joined = joined.select(F.col("node").alias("a"), F.col("root").alias("b"))
     out = joined if left is None else save(joined.unionByName(left).distinct(), "overlapping")
     if left is not None:
-        discard(met, sets, heads, asks, away, members)
+        discard(met, sets, heads, asks, away, members, covered, printed)
     return out
 
 
@@ -225,5 +241,6 @@ def copies(docs: DataFrame, width: int) -> DataFrame:
     Equal sets are one node; rows without any word are equal.
     """
     made = save(sketches(docs, width), "sketches")
-    bands = made.where("doc_id is not null").groupBy("prints").agg(F.first("bands").alias("bands"))
+    # Equal sets have equal bands; fingerprints count repeats, so one is chosen.
+    bands = made.where("doc_id is not null").groupBy("prints").agg(F.min("fp").alias("fp"), F.first("bands").alias("bands"))
     return simhash.grouped(made.select("doc_id", "prints"), lambda known: links(known.join(bands, "prints"), docs, width))

@@ -202,6 +202,26 @@ def test_pipeline_near_dedup_matches_all_pairs_about_the_threshold(spark, monkey
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(d).collect()) == sorted(set(parent))
 
 
+def test_pipeline_near_dedup_links_by_the_covering_tables_of_fingerprints(spark, monkeypatch):
+    bare = overlap.sketches
+    monkeypatch.setattr(overlap, "sketches", lambda docs, width: bare(docs, width).withColumn("bands", F.expr("cast(array() as array<bigint>)")))
+    rng = random.Random(41)
+    rows, linked, far = [], [], []
+    for k in range(60):
+        base = [f"w{rng.getrandbits(40)}" for _ in range(400)]
+        other = base[:-1] + [f"w{rng.getrandbits(40)}"]
+        a, b = (simhash.majority(simhash.shingle_hashes(" ".join(x), 5)) for x in (base, other))
+        (linked if ((a ^ b) % (1 << 64)).bit_count() <= 2 else far).append(2 * k + 1)
+        rows += [(2 * k, " ".join(base), "en", "s", 0), (2 * k + 1, " ".join(other), "en", "s", 0)]
+    # The same few shingles in other shares: near fingerprints, and a set that is not similar.
+    loop = [f"z{i}" for i in range(40)]
+    rows += [(1000, " ".join(loop * 60), "en", "s", 0), (1001, " ".join(loop * 60 + [f"y{i}" for i in range(30)]), "en", "s", 0)]
+    a, b = (simhash.majority(simhash.shingle_hashes(r[1], 5)) for r in rows[-2:])
+    assert ((a ^ b) % (1 << 64)).bit_count() <= 2 and len(linked) >= 20
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()}
+    assert kept == {r[0] for r in rows} - set(linked)  # without bands what is farther apart stays
+
+
 def quantise(v):
     return [math.floor(64 * x) for x in v]
 
